@@ -56,7 +56,9 @@ def test_mutual_pairs(spark):
 def test_in_class_and_tiny_class(spark):
     x = data("flat")[:40]
     y = np.array([0] * 38 + [1] * 2)
-    rows = neighbours_in_class(frame(spark, np.arange(40), x, y), "id", "v", "y", 3).collect()
+    df = frame(spark, np.arange(40), x, y)
+    rows = neighbours_in_class(df, "id", "v", "y", 3).collect()
+    assert {tuple(r) for r in neighbours_in_class(df, "id", "v", "y", 3, small=10).collect()} == {tuple(r) for r in rows}
     assert sum(r["y"] == 1 for r in rows) == 2  # one other member each
     want = brute(np.arange(38), x[:38], 3)
     assert {(r["id"], r["rank"]): r["neighbour"] for r in rows if r["y"] == 0} == {

@@ -29,6 +29,7 @@ from tiersmith.session import cut_lineage
 MAX_PIVOTS = 1024
 BLOCK_VALUES = 4_000_000  # doubles held per block
 MAX_BLOCK_ROWS = 65_536
+SMALL_CLASS = 4096  # rows compared whole in one task
 COMPARE_ROWS = 1024  # queries compared with a block at a time
 
 
@@ -324,13 +325,52 @@ def nearest_neighbours(
     )
 
 
-def neighbours_in_class(df: DataFrame, key: str, vector: str, label: str, k: int) -> DataFrame:
-    """J-3 restricted to rows of the same class; one job per class."""
-    out = None
-    for row in df.select(label).distinct().orderBy(label).collect():
-        part = nearest_neighbours(df.filter(F.col(label) == row[0]), key, vector, k)
-        part = part.withColumn(label, F.lit(row[0]))
-        out = part if out is None else out.unionByName(part)
+def _whole_class(width: int, k: int):
+    def run(table: pa.Table) -> pa.Table:
+        ids, vec = table.column("id").to_numpy(), matrix(table.column("vec"), width)
+        near, dist = best_k(vec, ids, vec, ids, k)
+        sizes = np.array([len(x) for x in near])
+        rank = np.concatenate([np.arange(1, n + 1) for n in sizes]) if len(sizes) else sizes
+        return pa.table(
+            {
+                "c": table.column("c").combine_chunks().take(pa.array(np.repeat(np.arange(len(ids)), sizes))),
+                "id": np.repeat(ids, sizes),
+                "rank": pa.array(rank, pa.int32()),
+                "neighbour": pa.array(np.concatenate(near), pa.int64()),
+                "distance": pa.array(np.concatenate(dist), pa.float64()),
+            }
+        )
+
+    return run
+
+
+def neighbours_in_class(
+    df: DataFrame, key: str, vector: str, label: str, k: int, small: int = SMALL_CLASS
+) -> DataFrame:
+    """J-3 restricted to rows of the same class.
+
+    Classes of at most ``small`` rows are compared whole, one task each; every larger class
+    goes through the blocked join on its own.
+    """
+    counts = {r[0]: r[1] for r in df.groupBy(label).count().collect()}
+    large = [c for c, n in counts.items() if n > small]
+    rows = df.select(
+        F.col(label).alias("c"),
+        F.col(key).cast("bigint").alias("id"),
+        F.col(vector).cast("array<double>").alias("vec"),
+    )
+    names = (label, key, "rank", "neighbour", "distance")
+    head = rows.first()
+    kind = rows.schema["c"].dataType.simpleString()
+    schema = f"c {kind}, id bigint, rank int, neighbour bigint, distance double"
+    width = len(head["vec"]) if head else 1
+    cold = rows
+    for c in large:
+        cold = cold.filter(~F.col("c").eqNullSafe(F.lit(c)))
+    out = cold.groupBy("c").applyInArrow(_whole_class(width, k), schema).toDF(*names)
+    for c in large:
+        part = nearest_neighbours(df.filter(F.col(label).eqNullSafe(F.lit(c))), key, vector, k)
+        out = out.unionByName(part.withColumn(label, F.lit(c).cast(kind)).select(*names))
     return out
 
 

@@ -4,13 +4,43 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.ml.feature import VectorAssembler
+import numpy as np
+from pyspark.ml.feature import HashingTF, Normalizer, VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tiersmith.functions import nested, text, vectors
-from tiersmith.operators import aggregates, clean, encoders, metrics, neighbours, ranking, sampling, stats
-from tiersmith.operators.pls import correlation_matrix, slots_to_drop
+from tiersmith.operators import (
+    aggregates,
+    calibrate,
+    clean,
+    encoders,
+    explain,
+    metrics,
+    models,
+    neighbours,
+    pipeline,
+    ranking,
+    sampling,
+    search,
+    stats,
+)
+from tiersmith.operators.pls import (
+    CorrelationPruner,
+    PlsDa,
+    attach_embeddings,
+    correlation_matrix,
+    fit_pls,
+    project,
+    slots_to_drop,
+)
+from tiersmith.plans import catalogue
+from tiersmith.plans.cleaning import clean_catalogue
+from tiersmith.plans.scoring import score
+from tiersmith.plans.training import feature_stages
+from tiersmith.session import cut_lineage
+from tiersmith.sources.records import LOG_SCHEMA
 
 PRIORITY_TIERS = {"5-LOW": 0, "4-NOT SPECIFIED": 1, "3-MEDIUM": 2, "2-HIGH": 3, "1-URGENT": 4}
 STOP_WORDS = ["the", "and", "of", "to", "in", "on", "at", "is", "it", "un", "la", "le", "el", "en", "der", "ein"]
@@ -212,8 +242,6 @@ def _catalogue_sources(spark, sf):
 
 def catalogue_clean(spark, sf):
     """The whole cleaning job: PF-1..13, J-1, SF-1..17, TK-1."""
-    from tiersmith.plans.cleaning import clean_catalogue
-
     out = clean_catalogue(*_catalogue_sources(spark, sf), "2019-11-20")
     return out.select(
         "steam_appid",
@@ -247,8 +275,6 @@ def multi_hot(spark, sf):
     """FT-1, SF-18: active vocabulary slots per row."""
     df = table(spark, sf, "part").select("p_partkey", F.split("p_name", " ").alias("tokens"))
     hot = encoders.multi_hot(df, "tokens", encoders.vocabulary(df, "tokens"), "hot")
-    from pyspark.ml.functions import vector_to_array
-
     active = F.filter(
         F.transform(vector_to_array("hot"), lambda x, i: F.when(x > 0, i)), lambda i: i.isNotNull()
     )
@@ -284,8 +310,6 @@ def tfidf_terms(spark, sf):
 
 def tfidf_vectors(spark, sf):
     """FT-3: unit-length term weights per document."""
-    from pyspark.ml.functions import vector_to_array
-
     df = encoders.terms(table(spark, sf, "documents").select("doc_id", "text"), "text", "t", STOP_WORDS)
     vocab, idf = encoders.fit_tfidf(df, "t", 15)
     out = encoders.tfidf(df.select("doc_id", "t"), "t", vocab, idf, "v").drop("t")
@@ -519,6 +543,271 @@ def vector_scores(spark, sf):
     return df.select("vec_id", vectors.argmax(F.col("s")).alias("best"), F.get(share, F.lit(0)).alias("first_share"))
 
 
+# Ten embedding labels -> five uneven tiers.
+LABEL_TIERS = {0: 0, 1: 0, 2: 0, 3: 0, 4: 1, 5: 1, 6: 1, 7: 2, 8: 3, 9: 4}
+CANDIDATES = [
+    [1.0, 1.0, 1.0, 1.0, 1.0],
+    [0.6, 1.0, 1.1, 1.2, 1.3],
+    [0.3, 0.7, 1.5, 1.6, 2.0],
+    [2.0, 1.0, 0.5, 0.4, 0.3],
+    [0.9, 1.2, 0.8, 1.4, 0.7],
+    [0.1, 0.2, 0.4, 0.8, 1.6],
+]
+
+
+def _tiers(spark, sf) -> DataFrame:
+    """Embeddings as a five-tier training table."""
+    df = table(spark, sf, "embeddings").transform(clean.bin_target("label", LABEL_TIERS, "tier"))
+    return df.select(
+        F.col("vec_id").alias("key"), F.col("tier").alias("label"), F.col("embedding").cast("array<double>")
+    )
+
+
+def _grow(counts):
+    return sampling.oversample_target(counts, rare=4, anchor=0, fraction=0.6)
+
+
+def _vectors(spark, sf) -> DataFrame:
+    """Embeddings with two derived flags as a mixed feature vector."""
+    flags = F.array((F.col("embedding")[0] > 0).cast("double"), (F.col("embedding")[1] > 0.1).cast("double"))
+    return _tiers(spark, sf).select("key", "label", array_to_vector(F.concat("embedding", flags)).alias("features"))
+
+
+def smotenc(spark, sf):
+    """RS-3: every row of the rebalanced table."""
+    df = _vectors(spark, sf)
+    out = sampling.smotenc(df, "key", "label", "features", _grow(ranking.class_counts(df, "label")), 3)
+    v = vector_to_array("features")
+    return out.select("key", "label", r6(v[0]).alias("x0"), r6(v[1]).alias("x1"), v[64].alias("flag0"))
+
+
+def smotenc_counts(spark, sf):
+    """RS-2, RS-3: exact class sizes afterwards."""
+    return smotenc(spark, sf).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
+def two_valued(spark, sf):
+    """AG-8: which slots count as categorical."""
+    cols = ["l_quantity", "l_discount", "is_open", "one"]
+    df = table(spark, sf, "lineitem").select(
+        "l_quantity", "l_discount", (F.col("l_linestatus") == "O").cast("double").alias("is_open"), F.lit(1.0).alias("one")
+    )
+    mask, low, high = sampling.two_valued_slots(VectorAssembler(inputCols=cols, outputCol="v").transform(df), "v")
+    rows = [(c, int(m), float(a), float(b)) for c, m, a, b in zip(cols, mask, low, high, strict=True)]
+    return spark.createDataFrame(rows, "name string, categorical int, low double, high double")
+
+
+def pls_scores(spark, sf):
+    """FT-9."""
+    df = _tiers(spark, sf)
+    mean, scale, rotations = fit_pls(df, "embedding", "label", 20)
+    scores = project(F.col("embedding"), mean, scale, rotations)
+    return df.select("key", F.posexplode(scores).alias("component", "score")).select(
+        "key", "component", r6("score").alias("score")
+    )
+
+
+def attach_embedding(spark, sf):
+    """FT-8: precomputed vectors joined on the row key, source text dropped."""
+    known = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    out = attach_embeddings(table(spark, sf, "documents"), known, "doc_id", "embedding", "text")
+    return out.select("doc_id", "lang", _big(F.size("embedding")).alias("width"), r6(F.col("embedding")[0].cast("double")).alias("x0"))
+
+
+def _centroid_probabilities(spark, sf) -> DataFrame:
+    """Soft class membership from distances to the class means."""
+    df = _tiers(spark, sf)
+    cells = df.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("x"))
+    means = np.zeros((5, 64))
+    for r in cells.collect():  # classes x dimensions
+        means[r["label"], r["i"]] = r["x"]
+    centre = F.array(*[F.array(*map(F.lit, m)) for m in means.tolist()])
+
+    def weight(m: Column) -> Column:
+        gaps = F.zip_with("embedding", m, lambda a, b: (a - b) * (a - b))
+        return F.exp(-F.sqrt(vectors.total(gaps)))
+
+    share = vectors.normalised(F.col("w"))
+    return df.withColumn("w", F.transform(centre, weight)).select("key", "label", share.alias("probability"))
+
+
+def calibration_grid(spark, sf):
+    """CS-1, SF-19, SF-20: kappa of each weight vector."""
+    pairs = calibrate.candidate_pairs(_centroid_probabilities(spark, sf), "probability", "label", CANDIDATES)
+    out = metrics.macro_from_pairs(pairs, ["candidate"])
+    return out.select("candidate", r6("accuracy").alias("accuracy"), r6("quadratic_weighted_kappa").alias("kappa"))
+
+
+def calibrated_labels(spark, sf):
+    """CS-3, AG-15, PF-21."""
+    df = _centroid_probabilities(spark, sf)
+    out = calibrate.apply_weights(df, "probability", CANDIDATES[2], {0: "low", 4: "high"})
+    return out.select("key", "prediction", "prediction_label", F.array_max("confidence").alias("confidence"))
+
+
+def weight_search(spark, sf):
+    """CS-2."""
+    df = cut_lineage(_centroid_probabilities(spark, sf))
+    weights, kappa = calibrate.search_weights(df, "probability", "label", 5, per_class=5, generations=10)
+    return calibrate.apply_weights(df, "probability", weights).select(
+        "key", "label", "prediction", F.lit(round(kappa, 6)).alias("kappa")
+    )
+
+
+def _stages(components: int = 8, select: bool = False):
+    out = [
+        sampling.Undersample(lambda c: sampling.undersample_target(c, fraction=0.5)),
+        PlsDa(components=components),
+        encoders.BlockAssembler(inputCols=["pls"]),
+        CorrelationPruner(threshold=0.95),
+        sampling.Smotenc(_grow, neighbours=3),
+        sampling.RemoveTomek(),
+    ]
+    return [*out, models.ImportanceSelector(models.random_forest(trees=10, depth=4))] if select else out
+
+
+def _predictions(model, df: DataFrame) -> DataFrame:
+    p = vector_to_array("probability")
+    return model.transform(df).select("key", "label", _big("prediction").alias("prediction"), r6(F.array_max(p)).alias("top"))
+
+
+def train_predict(spark, sf):
+    """ML-2, ML-4: resampling pipeline with a balanced random forest, scored on every row."""
+    df = _tiers(spark, sf)
+    model = pipeline.ImbalancePipeline(_stages(select=True), models.random_forest(trees=20, depth=6)).fit(df)
+    return _predictions(model, df)
+
+
+def boosted_predict(spark, sf):
+    """ML-3 on the plain vectors."""
+    df = _vectors(spark, sf)
+    model = models.fit_balanced(models.BoostedTrees(trees=5, depth=3), df)
+    return _predictions(model, df)
+
+
+def tree_importance(spark, sf):
+    """ML-1, ML-5, TK-4."""
+    model = models.fit_balanced(models.decision_tree(depth=6), _vectors(spark, sf))
+    return models.importance_table(spark, model, [f"x{i}" for i in range(66)])
+
+
+def select_features(spark, sf):
+    """FT-11: slots kept at the median importance."""
+    stage = models.ImportanceSelector(models.random_forest(trees=10, depth=5))
+    kept = stage.fit(_vectors(spark, sf)).get("indices")
+    return spark.createDataFrame([(i,) for i in kept], "slot int")
+
+
+def out_of_fold(spark, sf):
+    """SV-5."""
+    def make():
+        return pipeline.ImbalancePipeline(_stages()[1:4], models.decision_tree(depth=5))
+
+    out = pipeline.out_of_fold(_tiers(spark, sf), make, "label", "key", 3)
+    return out.select("key", "label", "fold", _big("prediction").alias("prediction"))
+
+
+def feature_grid(spark, sf):
+    """SV-1, AG-4, AG-5."""
+    def stages_(terms, components):
+        return _stages(components)[1:4]
+
+    classifiers = {
+        "DecisionTree": lambda: models.decision_tree(depth=4),
+        "RandomForest": lambda: models.random_forest(trees=10, depth=4),
+    }
+    return search.feature_size_grid(_tiers(spark, sf), "label", "key", stages_, classifiers, [15], [4, 8], k=2)
+
+
+def nested_search(spark, sf):
+    """SV-2..4, ST-1: nested search flattened to one row per model and fold."""
+    def stages_(components=8):
+        return _stages(components)[1:4]
+
+    space = {"depth": (3, 6), "features__components": [4, 8]}
+    log = search.nested_search(
+        _tiers(spark, sf), "label", "key", stages_, {"DecisionTree": (models.decision_tree, space, 2)}, 2, 2
+    )
+    return stats.flatten_log(log)
+
+
+def _forest(spark, sf):
+    df = _vectors(spark, sf)
+    return df, models.fit_balanced(models.random_forest(trees=10, depth=5), df)
+
+
+def shapley(spark, sf):
+    """EX-1: mean absolute attribution per class and slot over a stratified sample."""
+    df, model = _forest(spark, sf)
+    sample = explain.explain_sample(df, "label", "key", 2000)
+    background = explain.background_matrix(df, "features", "key", 50)
+    return explain.global_importance(explain.shapley(sample, model, background, "key", permutations=1))
+
+
+def surrogates(spark, sf):
+    """EX-2."""
+    df, model = _forest(spark, sf)
+    background = explain.background_matrix(df, "features", "key", 200)
+    scored = model.transform(df).select("key", "features", "prediction")
+    return explain.surrogates(scored, model, background, "key", "prediction", samples=500)
+
+
+def experiment_log(spark, sf):
+    """IO-3, IO-7, ST-1: a log rendered as JSON text, parsed and flattened."""
+    day = F.to_date("ts")
+    cells = table(spark, sf, "events").groupBy("event_type", day.alias("day")).agg(r6(F.avg("value")).alias("v"))
+    fold = F.struct(
+        F.dayofmonth("day").alias("fold"),
+        F.struct(F.col("v").alias("accuracy"), (-F.col("v")).alias("quadratic_weighted_kappa")).alias("metrics"),
+    )
+    per_model = cells.groupBy("event_type").agg(F.collect_list(fold).alias("folds_data"))  # one entry per day
+    entry = F.struct("event_type", F.struct("folds_data"))
+    text_log = per_model.agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("value"))
+    parsed = text_log.select(F.from_json("value", LOG_SCHEMA, {"mode": "FAILFAST"}).alias("results"))
+    return stats.flatten_log(parsed)
+
+
+def _hashed_embedding(df: DataFrame, text_col: str) -> DataFrame:
+    """Hashed word counts standing in for the frozen text encoder."""
+    words = F.filter(F.split(F.lower(F.coalesce(text_col, F.lit(""))), " "), lambda w: w != "")
+    df = HashingTF(numFeatures=16, inputCol="_w", outputCol="_tf").transform(df.withColumn("_w", words))
+    df = Normalizer(inputCol="_tf", outputCol="_e").transform(df)
+    return df.withColumn("embedding", vector_to_array("_e")).drop("_w", "_tf", "_e", text_col)
+
+
+def _catalogue_model(spark, sf):
+    df = _hashed_embedding(clean_catalogue(*_catalogue_sources(spark, sf), "2019-11-20"), "detailed_description")
+    df = cut_lineage(df)
+    stages_ = feature_stages(terms=10, components=5, stop_words=STOP_WORDS)
+    model = pipeline.ImbalancePipeline(stages_, models.random_forest(trees=10, depth=5), catalogue.TARGET)
+    return df, model.fit(df)
+
+
+def catalogue_training(spark, sf):
+    """The catalogue pipeline fitted on cleaned rows: FT-1..10, RS-1..4, ML-4."""
+    df, model = _catalogue_model(spark, sf)
+    return metrics.class_report(model.transform(df), catalogue.TARGET, "prediction")
+
+
+def score_records(spark, sf):
+    """CS-4: conversation turns as JSON records through the catalogue model."""
+    _, model = _catalogue_model(spark, sf)
+    record = F.to_json(
+        F.struct(
+            F.col("role").alias("name"),
+            F.col("text").alias("short_description"),
+            F.col("text").alias("detailed_description"),
+            F.col("turn").cast("double").alias("price"),
+        )
+    )
+    broken = F.when(F.col("role") == "system", F.concat(F.lit("{"), record)).otherwise(record)
+    lines = table(spark, sf, "conversations").select("conv_id", "turn", broken.alias("value"))
+    scored, _ = score(
+        lines, model, [0.2] * 5, lambda d: _hashed_embedding(d, "detailed_description")
+    )
+    return scored.select("conv_id", "turn", "prediction", "prediction_label", F.size("imputed_keys").alias("imputed"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -529,5 +818,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         strat_split, strat_sample, kfold, confusion, macro_metrics, class_report, group_means, group_mean_std,
         argmax_per_group, first_per_class, five_number, top_by_value, ranked_models, friedman, wilcoxon,
         knn_in_class, tomek_links, tomek_removed, pad_and_guard, vector_scores,
+        smotenc, smotenc_counts, two_valued, pls_scores, attach_embedding, calibration_grid, calibrated_labels,
+        weight_search, train_predict, boosted_predict, tree_importance, select_features, out_of_fold, feature_grid,
+        nested_search, shapley, surrogates, experiment_log, catalogue_training, score_records,
     )
 }

@@ -67,6 +67,20 @@ LINE = """
 NAMES = [*CELLS, "gross", "net"]
 PAIRS = [(NAMES[i], NAMES[j]) for i in range(6) for j in range(i + 1, 6)]
 
+CENTROIDS = """
+WITH e AS (SELECT vec_id AS key, CASE WHEN label <= 3 THEN 0 WHEN label <= 6 THEN 1 ELSE label - 5 END AS label,
+             CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+  x AS (SELECT label, unnest(range(1, 65)) AS i, unnest(v) AS x FROM e),
+  m AS (SELECT label, i, avg(x) AS x FROM x GROUP BY 1, 2),
+  c AS (SELECT label AS class, list(x ORDER BY i) AS c FROM m GROUP BY 1),
+  d AS (SELECT key, label, class, exp(-list_distance(v, c)) AS w FROM e, c),
+  probs AS (SELECT key, label, list(w / t ORDER BY class) AS p
+            FROM (SELECT *, sum(w) OVER (PARTITION BY key) AS t FROM d) GROUP BY 1, 2),
+  candidates AS (SELECT * FROM (VALUES
+    (0, [1.0, 1.0, 1.0, 1.0, 1.0]::DOUBLE[]), (1, [0.6, 1.0, 1.1, 1.2, 1.3]::DOUBLE[]),
+    (2, [0.3, 0.7, 1.5, 1.6, 2.0]::DOUBLE[]), (3, [2.0, 1.0, 0.5, 0.4, 0.3]::DOUBLE[]),
+    (4, [0.9, 1.2, 0.8, 1.4, 0.7]::DOUBLE[]), (5, [0.1, 0.2, 0.4, 0.8, 1.6]::DOUBLE[])) t(candidate, w))"""
+
 ORACLES: dict[str, str] = {
     "tier_summary": """
 SELECT CAST(CASE o_orderpriority WHEN '5-LOW' THEN 0 WHEN '4-NOT SPECIFIED' THEN 1 WHEN '3-MEDIUM' THEN 2
@@ -296,4 +310,44 @@ FROM conversations WHERE text IS NULL OR NOT regexp_matches(text, '[À-ÿ]')""",
     "vector_scores": """
 WITH e AS (SELECT vec_id, list_transform(embedding, lambda x, i: exp(x::DOUBLE) * (1.0::DOUBLE / i)) AS s FROM embeddings)
 SELECT vec_id, CAST(list_position(s, list_max(s)) - 1 AS INTEGER) AS best, round(s[1] / list_sum(s), 6) AS first_share FROM e""",
+    "smotenc_counts": """
+WITH t AS (SELECT CASE WHEN label <= 3 THEN 0 WHEN label <= 6 THEN 1 ELSE label - 5 END AS label FROM embeddings),
+  c AS (SELECT label, count(*) AS n FROM t GROUP BY 1)
+SELECT CAST(label AS INTEGER) AS label, CAST(CASE WHEN label = 4 THEN greatest(n, floor(0.6 * (SELECT n FROM c WHERE label = 0)))
+  ELSE n END AS BIGINT) AS n FROM c""",
+    "two_valued": """
+WITH l AS (SELECT l_quantity, l_discount, CASE WHEN l_linestatus = 'O' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS is_open,
+             1.0::DOUBLE AS one FROM lineitem)
+"""
+    + " UNION ALL ".join(
+        f"SELECT '{c}' AS name, CAST(count(DISTINCT {c}) <= 2 AS INTEGER) AS categorical, min({c}) AS low,"
+        f" max({c}) AS high FROM l"
+        for c in ("l_quantity", "l_discount", "is_open", "one")
+    ),
+    "attach_embedding": """
+SELECT doc_id, lang, CAST(len(embedding) AS BIGINT) AS width, round(embedding[1]::DOUBLE, 6) AS x0
+FROM documents LEFT JOIN embeddings ON doc_id = vec_id""",
+    "calibration_grid": CENTROIDS
+    + """,
+  s AS (SELECT candidate, label, list_transform(p, lambda x, i: x * w[i]) AS s FROM probs, candidates),
+  rule AS (SELECT candidate AS lang, label AS actual, list_position(s, list_max(s)) - 1 AS predicted FROM s),
+  seen AS (SELECT lang, actual AS class FROM rule UNION SELECT lang, predicted FROM rule),
+  pos AS (SELECT lang, class, row_number() OVER (PARTITION BY lang ORDER BY class) AS i FROM seen),
+  q AS (SELECT r.lang, count(*) AS n, avg(CASE WHEN actual = predicted THEN 1 ELSE 0 END) AS accuracy,
+          sum((a.i - p.i) ^ 2) AS d, sum(a.i) AS sa, sum(p.i) AS sp, sum(a.i ^ 2) AS saa, sum(p.i ^ 2) AS spp
+        FROM rule r JOIN pos a ON a.lang = r.lang AND a.class = r.actual
+                    JOIN pos p ON p.lang = r.lang AND p.class = r.predicted GROUP BY 1)
+SELECT CAST(lang AS INTEGER) AS candidate, round(accuracy, 6) AS accuracy,
+  round(1 - n * d / (n * (saa + spp) - 2 * sa * sp), 6) AS kappa FROM q""",
+    "calibrated_labels": CENTROIDS
+    + """,
+  s AS (SELECT key, list_transform(p, lambda x, i: x * w[i]) AS s FROM probs, candidates WHERE candidate = 2),
+  b AS (SELECT key, CAST(list_position(s, list_max(s)) - 1 AS INTEGER) AS prediction,
+          round(list_max(s) / list_sum(s), 4) AS confidence FROM s)
+SELECT key, prediction, CASE prediction WHEN 0 THEN 'low' WHEN 4 THEN 'high' ELSE 'Tier ' || prediction END
+  AS prediction_label, confidence FROM b""",
+    "experiment_log": """
+SELECT event_type AS model, CAST(day(ts) AS INTEGER) AS fold, round(avg(value), 6) AS accuracy,
+  CAST(NULL AS DOUBLE) AS precision_macro, CAST(NULL AS DOUBLE) AS recall_macro, CAST(NULL AS DOUBLE) AS f1_macro,
+  -round(avg(value), 6) AS quadratic_weighted_kappa FROM events GROUP BY event_type, CAST(ts AS DATE), day(ts)""",
 }

@@ -133,18 +133,20 @@ def flatten_nested(
     """
 
     def run(df: DataFrame) -> DataFrame:
+        # Maps read by several outputs are parsed once, in a projection of their own.
+        maps = {f"_{c}": nested.parse_dict(F.col(c)) for c in flags if has(df, c)}
+        df = df.withColumns(maps) if maps else df
         cols: dict[str, Column] = {}
         for c, outs in flags.items():
             if has(df, c):
-                m = nested.parse_dict(F.col(c))
-                cols |= {out: nested.bool_flag(m, key) for key, out in outs.items()}
+                cols |= {out: nested.bool_flag(F.col(f"_{c}"), key) for key, out in outs.items()}
         for c, (key, out) in numbers.items():
             if has(df, c):
                 cols[out] = nested.int_field(nested.parse_dict(F.col(c)), key)
         cols |= {c: nested.descriptions(F.col(c)) for c in described if has(df, c)}
         cols |= {c: nested.simple_list(F.col(c)) for c in lists if has(df, c)}
         cols |= {c: nested.top_keys(nested.parse_dict(F.col(c), "double"), top_n) for c in scored if has(df, c)}
-        return df.withColumns(cols) if cols else df
+        return df.withColumns(cols).drop(*maps) if cols else df
 
     return run
 
@@ -168,16 +170,16 @@ def requirement_features(cols: Sequence[str], levels: Mapping[str, str], pattern
 
     def run(df: DataFrame) -> DataFrame:
         found = [c for c in cols if has(df, c)]
-        maps = [nested.parse_dict(F.col(c)) for c in found]
+        df = df.withColumns({f"_{c}": nested.parse_dict(F.col(c)) for c in found}) if found else df
         out: dict[str, Column] = {}
         for key, name in levels.items():
-            parts = [nested.lookup(m, key, "") for m in maps]
+            parts = [nested.lookup(F.col(f"_{c}"), key, "") for c in found]
             out[name] = text.quantity(text.strip_html(F.concat_ws(" ", *parts))) if parts else F.lit(None)
         df = df.withColumns({n: c.cast("double") for n, c in out.items()})
         first, *rest = levels.values()
         df = df.withColumns({n: F.coalesce(F.col(n), F.col(first)) for n in rest})
         raw = text.joined_lower(*[F.col(c) for c in found]) if found else F.lit("")
-        return df.withColumns(text.keyword_flags(raw, patterns))
+        return df.withColumns(text.keyword_flags(raw, patterns)).drop(*[f"_{c}" for c in found])
 
     return run
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,23 +26,25 @@ def get_spark(app: str = "tiersmith", master: str | None = None, **conf: str) ->
     return builder.getOrCreate()
 
 
-def _ensure_checkpoint_dir(spark: SparkSession) -> None:
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names for durable intermediate data; a local one only in local mode."""
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
-    shared = spark.conf.get(CHECKPOINT_CONF, None) or sc.getConf().get(CHECKPOINT_CONF, None)
+    shared = spark.conf.get(CHECKPOINT_CONF, None) or sc.getCheckpointDir()
     if shared:
-        sc.setCheckpointDir(shared)
-    elif sc.master.startswith("local"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tiersmith-checkpoint-"))
-    else:
+        return shared
+    if not sc.master.startswith("local"):
         raise ValueError(f"set {CHECKPOINT_CONF} to a folder every executor can reach")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="tiersmith-checkpoint-"))
+    return sc.getCheckpointDir()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it back as a new root.
+    """Write ``df`` as Parquet to the shared folder and read it back as a new root.
 
-    The copy outlives lost executors, so iterative jobs never replay earlier rounds.
+    The copy outlives lost executors, so iterative jobs never replay earlier rounds, and
+    later passes read only the columns they use.
     """
-    _ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/tiersmith-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

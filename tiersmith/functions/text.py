@@ -8,7 +8,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Every code point Python's str.strip and \s treat as space; Java's \s is ASCII-only.
-SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+# The Latin-1 ones are listed singly because Java then tests them with one bit lookup.
+LATIN_SPACE = r" \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0"
+WIDE_SPACE = r"\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+SPACE_CHARACTERS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 NUMBER = r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$"
 
 
@@ -17,18 +20,25 @@ def strip_html(c: Column) -> Column:
     return F.regexp_replace(c, r"<[^>]+>", " ")
 
 
+def plain_spaces(c: Column) -> Column:
+    """Wide spaces as plain ones; texts without any character in their range are not rewritten."""
+    wide = F.regexp_replace(c, f"[{WIDE_SPACE}]", " ")
+    return F.when(c.rlike(r"[\u1680-\u3000]"), wide).otherwise(c)
+
+
 def collapse_space(c: Column) -> Column:
     """SF-2: any whitespace run becomes one space, ends trimmed."""
-    return F.trim(F.regexp_replace(c, SPACE + "+", " "))
+    return F.trim(F.regexp_replace(plain_spaces(c), f"[{LATIN_SPACE}]+", " "))
 
 
 def clean_text(c: Column) -> Column:
     """SF-1..3: markup and whitespace cleaned; the text ``nan`` counts as missing."""
-    return F.nullif(collapse_space(strip_html(c)), F.lit("nan"))
+    spaced = F.regexp_replace(strip_html(plain_spaces(c)), f"[{LATIN_SPACE}]+", " ")
+    return F.nullif(F.trim(spaced), F.lit("nan"))
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(c, F.lit(SPACE_CHARACTERS))
 
 
 def underscore(c: Column) -> Column:
@@ -104,7 +114,5 @@ def quantity(
     hit = F.regexp_extract(kept, "(?U)" + amount, 0)
     value = F.replace(F.regexp_extract(hit, r"(\d+[.,]?\d*)", 1), F.lit(","), F.lit(".")).try_cast("double")
     unit = F.regexp_extract(hit, "(?U)\\d\\s*[.,]?\\s*(" + "|".join(units) + ")", 1)
-    out = F.lit(None).cast("double")
-    for name, per_base in units.items():
-        out = F.when(unit == name, value / F.lit(per_base)).otherwise(out)
-    return out
+    per_base = F.create_map(*[F.lit(x) for pair in units.items() for x in pair])
+    return value / F.try_element_at(per_base, unit)

@@ -10,6 +10,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tiersmith.functions import dates, nested, text
 
@@ -18,6 +19,19 @@ def has(df: DataFrame, *cols: str) -> bool:
     return all(c in df.columns for c in cols)
 
 
+def computed_once(df: DataFrame, cols: Mapping[str, Column]) -> DataFrame:
+    """Add or replace columns that later filters use, without the optimizer copying them there.
+
+    A filter moves below a projection by repeating its expressions; it cannot move below a
+    generator, so costly text work runs once per row. Use it after the join, where no
+    one-sided filter has to pass.
+    """
+    if not cols:
+        return df
+    kept = [F.col(c) for c in df.columns if c not in cols]
+    return df.select(*kept, F.inline(F.array(F.struct(*[x.alias(n) for n, x in cols.items()]))))
+
+
 def coerce_id(col: str):
     """PF-1: numeric ids as bigint; rows whose id is text go."""
     return lambda df: df.withColumn(col, text.to_number(F.col(col)).try_cast("bigint")).filter(
@@ -69,9 +83,13 @@ def int_or_zero(c: Column) -> Column:
     return F.coalesce(text.to_number(c).try_cast("int"), F.lit(0))
 
 
+def clipped(c: Column) -> Column:
+    """PF-9: 0..1."""
+    return F.greatest(F.lit(0), F.least(F.lit(1), c))
+
+
 def unit_flag(c: Column) -> Column:
-    """PF-9: clipped to 0..1."""
-    return F.greatest(F.lit(0), F.least(F.lit(1), int_or_zero(c)))
+    return clipped(int_or_zero(c))
 
 
 def set_price(cents: str = "initialprice", free: str = "is_free", discount: str = "discount"):
@@ -186,7 +204,7 @@ def requirement_features(cols: Sequence[str], levels: Mapping[str, str], pattern
 
 def clean_texts(cols: Sequence[str]):
     """SF-1..3."""
-    return lambda df: df.withColumns({c: text.clean_text(F.col(c)) for c in cols if has(df, c)})
+    return lambda df: computed_once(df, {c: text.clean_text(F.col(c)) for c in cols if has(df, c)})
 
 
 def require_text(cols: Sequence[str]):
@@ -206,11 +224,16 @@ def drop_scripts(texts: Sequence[str], lists: Sequence[str], char_class: str):
 
 
 def coerce_numbers(ints: Sequence[str], flags: Sequence[str]):
-    """PF-8, PF-9."""
+    """PF-8, PF-9; columns that already hold integers skip the text check."""
 
     def run(df: DataFrame) -> DataFrame:
-        cols = {c: int_or_zero(F.col(c)) for c in ints if has(df, c)}
-        return df.withColumns(cols | {c: unit_flag(F.col(c)) for c in flags if has(df, c)})
+        def whole(c: str) -> Column:
+            if df.schema[c].dataType == T.IntegerType():
+                return F.coalesce(F.col(c), F.lit(0))
+            return int_or_zero(F.col(c))
+
+        cols = {c: whole(c) for c in ints if has(df, c)}
+        return df.withColumns(cols | {c: clipped(whole(c)) for c in flags if has(df, c)})
 
     return run
 

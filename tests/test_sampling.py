@@ -33,7 +33,7 @@ def test_exact_counts_and_cut_paths(spark, monkeypatch):
     test = ranking.mark_split(df, "label", "key", 0.2, 1).filter("is_test").groupBy("label").count().collect()
     assert sorted((r["label"], r["count"]) for r in test) == [(0, 667), (1, 333)]
     folds = ranking.assign_folds(df, "label", "key", 5).groupBy("label", "fold").count().collect()
-    assert {r["count"] for r in folds if r["label"] == 1} == {333, 334}
+    assert {r["count"] for r in folds if r["label"] == 1} == {333, 334} and len(folds) == 10
 
 
 def test_smotenc_geometry(spark):

@@ -231,15 +231,45 @@ def _visit(width: int, k: int):
     return run
 
 
+def _whole_class(width: int, k: int):
+    def run(table: pa.Table) -> pa.Table:
+        ids, vec = table.column("id").to_numpy(), matrix(table.column("vec"), width)
+        near, dist = best_k(vec, ids, vec, ids, k)
+        sizes = np.array([len(x) for x in near])
+        rank = np.concatenate([np.arange(1, n + 1) for n in sizes]) if len(sizes) else sizes
+        return pa.table(
+            {
+                "c": table.column("c").combine_chunks().take(pa.array(np.repeat(np.arange(len(ids)), sizes))),
+                "id": np.repeat(ids, sizes),
+                "rank": pa.array(rank, pa.int32()),
+                "neighbour": pa.array(np.concatenate(near), pa.int64()),
+                "distance": pa.array(np.concatenate(dist), pa.float64()),
+            }
+        )
+
+    return run
+
+
 def point_neighbours(points: DataFrame, k: int, block_rows: int | None = None) -> DataFrame:
-    """k nearest other points of every point: ``pid, near, dist`` rows ordered by (dist, near)."""
+    """k nearest other points of every point, as ``pid, near, dist, rank`` rows.
+
+    ``points`` must be a written table; it is scanned several times. Small sets are compared
+    whole in one task unless a block size is given.
+    """
     head = points.select(F.size("vec").alias("w")).first()
     if head is None:
         return points.sparkSession.createDataFrame([], "pid bigint, near bigint, dist double, rank int")
     width = head["w"]
+    small = block_rows is None and points.limit(SMALL_CLASS + 1).count() <= SMALL_CLASS
     block_rows = block_rows or max(64, min(MAX_BLOCK_ROWS, BLOCK_VALUES // width))
-    points = cut_lineage(points)
     n = points.count()
+    if small:
+        whole = points.select(F.lit(0).alias("c"), F.col("pid").alias("id"), "vec")
+        schema = "c int, id bigint, rank int, neighbour bigint, distance double"
+        compared = whole.groupBy("c").applyInArrow(_whole_class(width, k), schema)
+        return compared.select(
+            F.col("id").alias("pid"), F.col("neighbour").alias("near"), F.col("distance").alias("dist"), "rank"
+        )
     layout = _layout(points, n, width)
     celled = _with_cells(points, layout, width)
     stats = (
@@ -325,25 +355,6 @@ def nearest_neighbours(
     )
 
 
-def _whole_class(width: int, k: int):
-    def run(table: pa.Table) -> pa.Table:
-        ids, vec = table.column("id").to_numpy(), matrix(table.column("vec"), width)
-        near, dist = best_k(vec, ids, vec, ids, k)
-        sizes = np.array([len(x) for x in near])
-        rank = np.concatenate([np.arange(1, n + 1) for n in sizes]) if len(sizes) else sizes
-        return pa.table(
-            {
-                "c": table.column("c").combine_chunks().take(pa.array(np.repeat(np.arange(len(ids)), sizes))),
-                "id": np.repeat(ids, sizes),
-                "rank": pa.array(rank, pa.int32()),
-                "neighbour": pa.array(np.concatenate(near), pa.int64()),
-                "distance": pa.array(np.concatenate(dist), pa.float64()),
-            }
-        )
-
-    return run
-
-
 def neighbours_in_class(
     df: DataFrame, key: str, vector: str, label: str, k: int, small: int = SMALL_CLASS
 ) -> DataFrame:

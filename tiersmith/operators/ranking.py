@@ -4,8 +4,8 @@ Rows are ordered inside a class by ``md5(key|seed)``, so a sample depends only o
 key and the seed, never on partitioning. A class may hold most of the table, so no
 step sorts a class in one task:
 
-* a cut (first n of a class) is located from counts per hash prefix; only the rows of
-  one narrow prefix reach the driver, and the sample is then a row-local filter;
+* a cut (rank n of a class) is located from counts per hash prefix; only the rows of one
+  narrow prefix reach the driver, and samples, splits and folds are then row-local;
 * a full rank sorts inside (class, hash prefix) and adds the count of earlier prefixes.
 """
 
@@ -33,55 +33,62 @@ def class_counts(df: DataFrame, label: str) -> dict:
 def class_cuts(
     df: DataFrame, label: str, key: str, targets: Mapping, seed: int, counts: Mapping
 ) -> dict:
-    """Hash of the n-th row of each class in ``targets``; keys must be unique."""
+    """Per class, the hash at each wanted rank: ``{class: [ranks]}`` to ``{class: [hashes]}``.
+
+    Keys must be unique. Only the key and the label are read, and counts per hash prefix
+    narrow each rank down to a prefix small enough to list.
+    """
     hashed = df.select(F.col(label).alias("c"), order_hash(key, seed).alias("h"))
-    cuts, open_ = {}, {}
-    for c, n in targets.items():
-        if n <= 0:
-            cuts[c] = ""
-        elif n >= counts.get(c, 0):
-            cuts[c] = LAST_HASH
-        else:
-            open_[c] = ("", n, counts[c])  # prefix, rank wanted inside it, rows inside it
+    cuts = {c: [None] * len(ranks) for c, ranks in targets.items()}
+    open_ = {}  # (class, position) -> prefix, rank wanted inside it, rows inside it
+    for c, ranks in targets.items():
+        for i, n in enumerate(ranks):
+            if n <= 0:
+                cuts[c][i] = ""
+            elif n >= counts.get(c, 0):
+                cuts[c][i] = LAST_HASH
+            else:
+                open_[c, i] = ("", n, counts[c])
     while any(size > CUT_ROWS for _, _, size in open_.values()):
-        wide = {c: v for c, v in open_.items() if v[2] > CUT_ROWS}
+        wide = {k: v for k, v in open_.items() if v[2] > CUT_ROWS}
         digits = PREFIX_DIGITS + max(len(p) for p, _, _ in wide.values())
-        hit = _in_prefix(wide)
-        found = (
-            hashed.filter(hit)
-            .groupBy("c", F.substring("h", 1, digits).alias("p"))
-            .count()
-            .orderBy("c", "p")
-            .collect()
-        )
-        for c, (_, rank, _) in wide.items():
-            for r in (r for r in found if r["c"] == c):
-                if rank <= r["count"]:
-                    open_[c] = (r["p"], rank, r["count"])
+        found: dict = {}
+        counted = hashed.filter(_in_prefix(wide)).groupBy("c", F.substring("h", 1, digits).alias("p")).count()
+        for r in counted.orderBy("c", "p").collect():
+            found.setdefault(r["c"], []).append((r["p"], r["count"]))
+        for (c, i), (prefix, rank, _) in wide.items():
+            for p, n in found[c]:
+                if not p.startswith(prefix):
+                    continue
+                if rank <= n:
+                    open_[c, i] = (p, rank, n)
                     break
-                rank -= r["count"]
+                rank -= n
     if open_:
         listed: dict = {}
         for r in hashed.filter(_in_prefix(open_)).orderBy("c", "h").collect():
             listed.setdefault(r["c"], []).append(r["h"])
-        for c, (_, rank, _) in open_.items():
-            cuts[c] = listed[c][rank - 1]
+        for (c, i), (prefix, rank, _) in open_.items():
+            cuts[c][i] = [h for h in listed[c] if h.startswith(prefix)][rank - 1]
     return cuts
 
 
 def _in_prefix(open_: Mapping) -> Column:
     hit = F.lit(False)
-    for c, (prefix, _, _) in open_.items():
+    for c, prefix in {(c, prefix) for (c, _), (prefix, _, _) in open_.items()}:
         hit = hit | ((F.col("c") == F.lit(c)) & F.col("h").startswith(prefix))
     return hit
 
 
-def within_cuts(label: str, key: str, cuts: Mapping, seed: int, otherwise: bool = True) -> Column:
-    """True for the first n rows of every cut class; ``otherwise`` for the other classes."""
+def cuts_passed(label: str, key: str, cuts: Mapping, seed: int, otherwise: int = 0) -> Column:
+    """How many of its class's cuts a row lies beyond; ``otherwise`` for classes without cuts."""
     out = F.lit(otherwise)
     h = order_hash(key, seed)
-    for c, cut in cuts.items():
-        out = F.when(F.col(label) == F.lit(c), h <= F.lit(cut)).otherwise(out)
+    for c, hashes in cuts.items():
+        beyond = F.lit(0)
+        for cut in hashes:
+            beyond = beyond + (h > F.lit(cut)).cast("int")
+        out = F.when(F.col(label) == F.lit(c), beyond).otherwise(out)
     return out
 
 
@@ -90,7 +97,8 @@ def take_per_class(
 ) -> DataFrame:
     """Exactly ``targets[c]`` rows of each listed class, every row of the others."""
     counts = class_counts(df, label) if counts is None else counts
-    return df.filter(within_cuts(label, key, class_cuts(df, label, key, targets, seed, counts), seed))
+    cuts = class_cuts(df, label, key, {c: [n] for c, n in targets.items()}, seed, counts)
+    return df.filter(cuts_passed(label, key, cuts, seed) == 0)
 
 
 def proportional_allocation(counts: Mapping, n: int) -> dict:
@@ -112,8 +120,8 @@ def mark_split(
     size = sum(counts.values())
     n_test = -int(-(test_fraction * size) // 1)
     targets = proportional_allocation(counts, n_test)
-    cuts = class_cuts(df, label, key, targets, seed, counts)
-    return df.withColumn(col, within_cuts(label, key, cuts, seed, otherwise=False))
+    cuts = class_cuts(df, label, key, {c: [n] for c, n in targets.items()}, seed, counts)
+    return df.withColumn(col, cuts_passed(label, key, cuts, seed, otherwise=1) == 0)
 
 
 def stratified_sample(df: DataFrame, label: str, key: str, fraction: float, seed: int = 1) -> DataFrame:
@@ -152,6 +160,12 @@ def class_rank(
 
 
 def assign_folds(df: DataFrame, label: str, key: str, k: int = 5, seed: int = 1, col: str = "fold") -> DataFrame:
-    """RS-6: stratified folds 0..k-1; class sizes differ by at most one between folds."""
-    ranked = class_rank(df, label, key, seed, "_rank")
-    return ranked.withColumn(col, F.pmod(F.col("_rank") - 1, F.lit(k)).cast("int")).drop("_rank")
+    """RS-6: stratified folds 0..k-1; class sizes differ by at most one between folds.
+
+    Fold f holds the f-th of k equal stretches of its class in hash order, so once the cuts
+    are known a row's fold follows from its own key and no row moves.
+    """
+    counts = class_counts(df, label)
+    ranks = {c: [i * n // k for i in range(1, k)] for c, n in counts.items()}
+    cuts = class_cuts(df, label, key, ranks, seed, counts)
+    return df.withColumn(col, cuts_passed(label, key, cuts, seed))

@@ -408,11 +408,16 @@ def strat_sample(spark, sf):
 
 
 def kfold(spark, sf):
-    """RS-6, W-3."""
+    """RS-6."""
     df = ranking.assign_folds(table(spark, sf, "events"), "event_type", "event_id", 5, 1)
     return df.select("event_id", "fold")
 
 
+def class_rank(spark, sf):
+    """W-3: exact position of every row inside its class."""
+    return ranking.class_rank(table(spark, sf, "events"), "event_type", "event_id", 2).select("event_id", "class_rank")
+
+
 def _rule_predictions(spark, sf):
     """Three ordinal classes from the labels, predicted from document length."""
     docs = table(spark, sf, "documents").select("doc_id", "n_chars", "lang")
@@ -815,7 +820,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         json_lookup, literal_lists, coerce_impute, presence_flags, date_parts_filter, price_rules, review_ratio,
         top_tokens, multi_hot, top_creator_flags, top_map_keys, tfidf_terms, tfidf_vectors, robust_scale,
         inverse_scale, mode_impute_onehot, corr_matrix, corr_prune, class_weights, undersample, oversample_plan,
-        strat_split, strat_sample, kfold, confusion, macro_metrics, class_report, group_means, group_mean_std,
+        strat_split, strat_sample, kfold, class_rank, confusion, macro_metrics, class_report, group_means, group_mean_std,
         argmax_per_group, first_per_class, five_number, top_by_value, ranked_models, friedman, wilcoxon,
         knn_in_class, tomek_links, tomek_removed, pad_and_guard, vector_scores,
         smotenc, smotenc_counts, two_valued, pls_scores, attach_embedding, calibration_grid, calibrated_labels,

@@ -216,7 +216,11 @@ WITH {_allocation("events", "event_type", "floor(0.2 * n)")},
   r AS (SELECT event_id, event_type, {_md5_rank("event_id", "event_type", 5)} AS r FROM events)
 SELECT event_id, event_type FROM r JOIN allocation USING (event_type) WHERE r <= take""",
     "kfold": f"""
-SELECT event_id, CAST(({_md5_rank("event_id", "event_type", 1)} - 1) % 5 AS INTEGER) AS fold FROM events""",
+WITH r AS (SELECT event_id, {_md5_rank("event_id", "event_type", 1)} AS r,
+             count(*) OVER (PARTITION BY event_type) AS n FROM events)
+SELECT event_id, CAST(CAST(r > n // 5 AS INTEGER) + CAST(r > 2 * n // 5 AS INTEGER) + CAST(r > 3 * n // 5 AS INTEGER)
+  + CAST(r > 4 * n // 5 AS INTEGER) AS INTEGER) AS fold FROM r""",
+    "class_rank": f"SELECT event_id, {_md5_rank('event_id', 'event_type', 2)} AS class_rank FROM events",
     "confusion": f"""
 WITH {RULE}, g AS (SELECT a.x AS actual, p.x AS predicted FROM (VALUES (0), (1), (2)) a(x), (VALUES (0), (1), (2)) p(x))
 SELECT CAST(g.actual AS INTEGER) AS actual, CAST(g.predicted AS INTEGER) AS predicted, count(rule.lang) AS n

@@ -96,13 +96,14 @@ def train(
 ) -> Trained:
     """Split, fit, calibrate out of fold, evaluate on the held-out part, refit on everything (ML-6).
 
-    ``make`` returns an unfitted pipeline. Weights found on the 80 % model are kept for the
+    ``df`` should be a written table, since every fit scans it; ``make`` returns an unfitted
+    pipeline. Weights found on the 80 % model are kept for the
     production refit.
     """
-    split = cut_lineage(mark_split(df, label, key, 0.2, seed))
+    split = mark_split(df, label, key, 0.2, seed)
     fit_rows, held_out = split.filter("NOT is_test").drop("is_test"), split.filter("is_test").drop("is_test")
     evaluated = make().fit(fit_rows)
-    oof = cut_lineage(out_of_fold(fit_rows, make, label, key, folds, seed))
+    oof = out_of_fold(fit_rows, make, label, key, folds, seed)
     weights, _ = search_weights(
         oof, "probability", label, classes, per_class=per_class, generations=generations, seed=seed
     )

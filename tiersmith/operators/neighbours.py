@@ -53,35 +53,55 @@ def _sq_dists(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(d, 0.0)
 
 
+def _exact_order(q: np.ndarray, base: np.ndarray, base_id: np.ndarray, j: np.ndarray, k: int):
+    d = np.sqrt(((base[j] - q) ** 2).sum(1))
+    order = np.lexsort((base_id[j], d))[:k]
+    return base_id[j][order], d[order]
+
+
 def best_k(q: np.ndarray, q_id: np.ndarray, base: np.ndarray, base_id: np.ndarray, k: int, limit=None):
     """k closest base rows of each query as (ids, distances), ordered by (distance, id), self excluded.
 
-    A matrix product shortlists candidates; their distances are then recomputed exactly.
+    A matrix product shortlists candidates; their distances are then recomputed exactly. A row
+    with more near-ties than the shortlist holds is settled on its own.
     """
-    ids, dists = [], []
     if not len(q) or not len(base):
         return [np.array([], np.int64)] * len(q), [np.array([])] * len(q)
+    ids, dists = [], []
     centre = base.mean(0)
     b0 = base - centre
-    scale = (b0 * b0).sum(1).max() if len(b0) else 0.0
+    scale = (b0 * b0).sum(1).max()
+    short = min(k + 8, len(base))
     for s in range(0, len(q), COMPARE_ROWS):
         part, part_id = q[s : s + COMPARE_ROWS], q_id[s : s + COMPARE_ROWS]
         p0 = part - centre
         approx = _sq_dists(p0, b0)
         approx[part_id[:, None] == base_id[None, :]] = np.inf
         slack = 1e-9 * ((p0 * p0).sum(1) + scale) + 1e-300
-        if approx.shape[1] > k:
-            kth = np.partition(approx, k - 1, axis=1)[:, k - 1]
+        if short < len(base):
+            pick = np.argpartition(approx, short - 1, axis=1)[:, :short]
         else:
-            kth = np.full(len(part), np.inf)
-        bound = kth if limit is None else np.minimum(kth, limit[s : s + COMPARE_ROWS] ** 2)
-        keep = (approx <= (bound + slack)[:, None]) & np.isfinite(approx)
+            pick = np.broadcast_to(np.arange(short), (len(part), short))
+        near = np.take_along_axis(approx, pick, axis=1)
+        bound = np.partition(near, k - 1, axis=1)[:, k - 1] if short > k else np.full(len(part), np.inf)
+        if limit is not None:
+            bound = np.minimum(bound, limit[s : s + COMPARE_ROWS] ** 2)
+        keep = (near <= (bound + slack)[:, None]) & np.isfinite(near)
+        d = np.sqrt(((base[pick] - part[:, None, :]) ** 2).sum(2))
+        d[~keep] = np.inf
+        near_id = base_id[pick]
+        order = np.lexsort(np.stack([near_id, d]), axis=1)[:, :k]
+        d, near_id = np.take_along_axis(d, order, axis=1), np.take_along_axis(near_id, order, axis=1)
+        found = np.isfinite(d).sum(1)
+        crowded = keep.all(axis=1) & (short < len(base))
         for i in range(len(part)):
-            j = np.flatnonzero(keep[i])
-            d = np.sqrt(((base[j] - part[i]) ** 2).sum(1))
-            order = np.lexsort((base_id[j], d))[:k]
-            ids.append(base_id[j][order])
-            dists.append(d[order])
+            if crowded[i]:
+                j = np.flatnonzero((approx[i] <= bound[i] + slack[i]) & np.isfinite(approx[i]))
+                a, b = _exact_order(part[i], base, base_id, j, k)
+            else:
+                a, b = near_id[i, : found[i]], d[i, : found[i]]
+            ids.append(a)
+            dists.append(b)
     return ids, dists
 
 
@@ -170,6 +190,12 @@ def _own_block(layout: _Layout, width: int, k: int):
     all_blocks = [
         np.arange(f, f + s) for f, s in zip(layout.first_block, layout.splits, strict=True)
     ]
+    blocks = int((layout.first_block + layout.splits).max())
+    member = None
+    if blocks * len(gap) <= BLOCK_VALUES:
+        member = np.zeros((len(gap), blocks), dtype=np.float32)
+        for c, held in enumerate(all_blocks):
+            member[c, held] = 1.0
 
     def run(table: pa.Table) -> pa.Table:
         ids = table.column("pid").to_numpy()
@@ -195,6 +221,11 @@ def _own_block(layout: _Layout, width: int, k: int):
             lower = np.maximum(np.maximum(d - layout.high, layout.low - d), bisector)
             visit = (lower <= (limit + slack)[:, None]) & np.isfinite(layout.high)[None, :]
             bounds.append(limit + slack)
+            if member is not None:
+                hits = visit.astype(np.float32) @ member > 0
+                hits[:, mine] = False
+                targets += np.split(np.nonzero(hits)[1], np.cumsum(hits.sum(1))[:-1])
+                continue
             for row in visit:
                 cells = np.flatnonzero(row)
                 hit = np.unique(np.concatenate([all_blocks[j] for j in cells])) if len(cells) else np.array([])

@@ -26,8 +26,8 @@ def order_hash(key: str, seed: int) -> Column:
 
 
 def class_counts(df: DataFrame, label: str) -> dict:
-    """AG-1 on the driver: one row per class."""
-    return {r[0]: r[1] for r in df.groupBy(label).count().collect()}
+    """AG-1 on the driver: one row per class; unlabelled rows are not a class."""
+    return {r[0]: r[1] for r in df.filter(F.col(label).isNotNull()).groupBy(label).count().collect()}
 
 
 def class_cuts(
@@ -74,16 +74,25 @@ def class_cuts(
 
 
 def _in_prefix(open_: Mapping) -> Column:
+    """Set membership of (class, hash prefix), so the hash is computed once per prefix length."""
+    by_length: dict[int, set] = {}
+    for (c, _), (prefix, _, _) in open_.items():
+        by_length.setdefault(len(prefix), set()).add(f"{_text(c)}|{prefix}")
     hit = F.lit(False)
-    for c, prefix in {(c, prefix) for (c, _), (prefix, _, _) in open_.items()}:
-        hit = hit | ((F.col("c") == F.lit(c)) & F.col("h").startswith(prefix))
+    for n, wanted in by_length.items():
+        cell = F.concat_ws("|", F.col("c").cast("string"), F.substring("h", 1, n))
+        hit = hit | cell.isin(sorted(wanted))
     return hit
 
 
-def cuts_passed(label: str, key: str, cuts: Mapping, seed: int, otherwise: int = 0) -> Column:
-    """How many of its class's cuts a row lies beyond; ``otherwise`` for classes without cuts."""
+def _text(value) -> str:
+    """A class value as Spark's string cast writes it."""
+    return str(value).lower() if isinstance(value, bool) else str(value)
+
+
+def cuts_passed(label: str, h: Column, cuts: Mapping, otherwise: int = 0) -> Column:
+    """How many of its class's cuts a row with hash ``h`` lies beyond; ``otherwise`` without cuts."""
     out = F.lit(otherwise)
-    h = order_hash(key, seed)
     for c, hashes in cuts.items():
         beyond = F.lit(0)
         for cut in hashes:
@@ -98,7 +107,7 @@ def take_per_class(
     """Exactly ``targets[c]`` rows of each listed class, every row of the others."""
     counts = class_counts(df, label) if counts is None else counts
     cuts = class_cuts(df, label, key, {c: [n] for c, n in targets.items()}, seed, counts)
-    return df.filter(cuts_passed(label, key, cuts, seed) == 0)
+    return df.filter(cuts_passed(label, order_hash(key, seed), cuts) == 0)
 
 
 def proportional_allocation(counts: Mapping, n: int) -> dict:
@@ -121,7 +130,7 @@ def mark_split(
     n_test = -int(-(test_fraction * size) // 1)
     targets = proportional_allocation(counts, n_test)
     cuts = class_cuts(df, label, key, {c: [n] for c, n in targets.items()}, seed, counts)
-    return df.withColumn(col, cuts_passed(label, key, cuts, seed, otherwise=1) == 0)
+    return df.withColumn(col, cuts_passed(label, order_hash(key, seed), cuts, otherwise=1) == 0)
 
 
 def stratified_sample(df: DataFrame, label: str, key: str, fraction: float, seed: int = 1) -> DataFrame:
@@ -168,4 +177,5 @@ def assign_folds(df: DataFrame, label: str, key: str, k: int = 5, seed: int = 1,
     counts = class_counts(df, label)
     ranks = {c: [i * n // k for i in range(1, k)] for c, n in counts.items()}
     cuts = class_cuts(df, label, key, ranks, seed, counts)
-    return df.withColumn(col, cuts_passed(label, key, cuts, seed))
+    hashed = df.withColumn("_h", order_hash(key, seed))  # its own projection: one hash per row
+    return hashed.withColumn(col, cuts_passed(label, F.col("_h"), cuts)).drop("_h")

@@ -293,7 +293,6 @@ def point_neighbours(points: DataFrame, k: int, block_rows: int | None = None) -
     width = head["w"]
     small = block_rows is None and points.limit(SMALL_CLASS + 1).count() <= SMALL_CLASS
     block_rows = block_rows or max(64, min(MAX_BLOCK_ROWS, BLOCK_VALUES // width))
-    n = points.count()
     if small:
         whole = points.select(F.lit(0).alias("c"), F.col("pid").alias("id"), "vec")
         schema = "c int, id bigint, rank int, neighbour bigint, distance double"
@@ -301,7 +300,7 @@ def point_neighbours(points: DataFrame, k: int, block_rows: int | None = None) -
         return compared.select(
             F.col("id").alias("pid"), F.col("neighbour").alias("near"), F.col("distance").alias("dist"), "rank"
         )
-    layout = _layout(points, n, width)
+    layout = _layout(points, points.count(), width)
     celled = _with_cells(points, layout, width)
     stats = (
         celled.groupBy("cell")

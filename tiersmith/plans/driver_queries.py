@@ -41,6 +41,7 @@ from tiersmith.plans.scoring import score
 from tiersmith.plans.training import feature_stages
 from tiersmith.session import cut_lineage
 from tiersmith.sources.records import LOG_SCHEMA
+from tiersmith.sources.tables import spread
 
 PRIORITY_TIERS = {"5-LOW": 0, "4-NOT SPECIFIED": 1, "3-MEDIUM": 2, "2-HIGH": 3, "1-URGENT": 4}
 STOP_WORDS = ["the", "and", "of", "to", "in", "on", "at", "is", "it", "un", "la", "le", "el", "en", "der", "ein"]
@@ -53,6 +54,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose per-row work is heavy."""
+    return spread(table(spark, sf_dir, name))
+
+
 def r6(c: Column | str) -> Column:
     return F.round(F.col(c) if isinstance(c, str) else c, 6)
 
@@ -76,20 +82,20 @@ def tier_summary(spark, sf):
 
 def clean_html(spark, sf):
     """SF-1..3, PF-5."""
-    df = table(spark, sf, "pages").transform(clean.clean_texts(["html"])).transform(clean.require_text(["html"]))
+    df = texts(spark, sf, "pages").transform(clean.clean_texts(["html"])).transform(clean.require_text(["html"]))
     return df.select("page_id", F.col("html").alias("text"), _big(F.length("html")).alias("n_chars"))
 
 
 def script_filter(spark, sf):
     """PF-6 on text and on a token list."""
-    docs = table(spark, sf, "documents").withColumn("tokens", F.split("text", " "))
+    docs = texts(spark, sf, "documents").withColumn("tokens", F.split("text", " "))
     return docs.transform(clean.drop_scripts(["text"], ["tokens"], ACCENTED)).select("doc_id", "lang")
 
 
 def quality_report(spark, sf):
     """AG-10."""
     return aggregates.drop_report(
-        table(spark, sf, "documents"),
+        texts(spark, sf, "documents"),
         [
             ("language", F.col("lang") != "de"),
             ("script", ~text.has_script(F.col("text"), ACCENTED)),
@@ -102,7 +108,7 @@ def keyword_flags(spark, sf):
     """SF-6, SF-7."""
     raw = text.joined_lower(F.col("source"), F.col("text"))
     flags = text.keyword_flags(raw, WORD_FLAGS)
-    return table(spark, sf, "documents").select("doc_id", *[c.alias(n) for n, c in flags.items()])
+    return texts(spark, sf, "documents").select("doc_id", *[c.alias(n) for n, c in flags.items()])
 
 
 def quantity_extract(spark, sf):
@@ -205,7 +211,7 @@ def review_ratio(spark, sf):
 
 def _catalogue_sources(spark, sf):
     """Raw store and usage tables in catalogue layout, rendered from documents, labels and parts."""
-    docs = table(spark, sf, "documents")
+    docs = texts(spark, sf, "documents")
     n = F.col("n_chars")
     store = docs.select(
         F.when(F.col("lang") == "es", F.lit("dlc")).otherwise(F.lit("game")).alias("type"),
@@ -267,7 +273,7 @@ def catalogue_clean(spark, sf):
 
 def top_tokens(spark, sf):
     """AG-2, TK-2."""
-    df = table(spark, sf, "documents").select(F.split("text", " ").alias("tokens"))
+    df = texts(spark, sf, "documents").select(F.split("text", " ").alias("tokens"))
     return aggregates.top_values(df, "tokens", 20, "token", "n")
 
 
@@ -302,7 +308,7 @@ def top_map_keys(spark, sf):
 
 def tfidf_terms(spark, sf):
     """FT-3: fitted terms and idf over whole documents."""
-    df = encoders.terms(table(spark, sf, "documents").select("doc_id", "text"), "text", "t", STOP_WORDS)
+    df = encoders.terms(texts(spark, sf, "documents").select("doc_id", "text"), "text", "t", STOP_WORDS)
     vocab, idf = encoders.fit_tfidf(df, "t", 30)
     rows = list(zip(vocab, idf, strict=True))
     return spark.createDataFrame(rows, "term string, idf double").select("term", r6("idf").alias("idf"))
@@ -310,7 +316,7 @@ def tfidf_terms(spark, sf):
 
 def tfidf_vectors(spark, sf):
     """FT-3: unit-length term weights per document."""
-    df = encoders.terms(table(spark, sf, "documents").select("doc_id", "text"), "text", "t", STOP_WORDS)
+    df = encoders.terms(texts(spark, sf, "documents").select("doc_id", "text"), "text", "t", STOP_WORDS)
     vocab, idf = encoders.fit_tfidf(df, "t", 15)
     out = encoders.tfidf(df.select("doc_id", "t"), "t", vocab, idf, "v").drop("t")
     long = out.select("doc_id", F.posexplode(vector_to_array("v")).alias("slot", "weight")).filter("weight <> 0")
@@ -345,7 +351,7 @@ def mode_impute_onehot(spark, sf):
 
 def _line_vector(spark, sf):
     cols = [*LINE_NUMBERS, "gross", "net", "flag"]
-    df = table(spark, sf, "lineitem").select(
+    df = texts(spark, sf, "lineitem").select(
         *LINE_NUMBERS,
         (F.col("l_extendedprice") * (1 + F.col("l_tax"))).alias("gross"),
         (-F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("net"),

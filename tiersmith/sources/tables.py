@@ -32,6 +32,16 @@ def read_tolerant_csv(spark: SparkSession, path: str, columns: Sequence[str], mu
     return raw.filter(F.col("_malformed").isNotNull() & F.col("_spare").isNull()).select(*columns)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core on a scan with fewer splits than cores, such as one small file of long texts.
+
+    A scan of many splits comes back as it is, so a large table is never shuffled for this.
+    Only for plain scans: counting the splits of a plan with shuffles would run it.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_clean_table(
     spark: SparkSession, path: str, list_columns: Sequence[str] = (), schema: str | None = None
 ) -> DataFrame:

@@ -108,3 +108,12 @@ def test_correlation_pruning(spark):
     model = pls.CorrelationPruner(threshold=0.95).fit(df)
     assert model.get("indices") == [0, 2, 3]
     assert len(model.transform(df).first()["features"]) == 3
+
+
+def test_unlabelled_rows_stay_out_of_samples(spark):
+    df = spark.range(40).select(F.col("id").alias("key"), F.when(F.col("id") > 9, F.col("id") % 2).alias("label"))
+    assert ranking.class_counts(df, "label") == {0: 15, 1: 15}
+    marked = ranking.mark_split(df, "label", "key", 0.2, 1)
+    assert marked.count() == 40 and marked.filter("is_test").count() == 6
+    assert marked.filter("is_test and label is null").count() == 0
+    assert ranking.class_rank(df, "label", "key").filter("label is null").agg(F.max("class_rank")).first()[0] == 10

@@ -1,0 +1,61 @@
+import hashlib
+import random
+import re
+
+from edge_tables import ROWS, docs
+from pyspark.sql import functions as F
+
+from tiersmith.llm import secrets
+
+# The base patterns as they are given, without short cuts.
+BASE = {
+    "assign": (re.compile(r"(?ai)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"), 2, 6),
+    "access": (re.compile(r"AKIA[A-Z0-9]+"), 0, 20),
+    "hex": (re.compile(r"[0-9a-f]+"), 0, 24),
+}
+
+
+def plain(text):
+    found = []
+    for rank, (kind, (pattern, group, least)) in enumerate(BASE.items()):
+        found += [(m.start(), rank, kind, m.end()) for m in pattern.finditer(text or "") if len(m[group]) >= least]
+    return [(kind, a, b) for a, _, kind, b in sorted(found)]
+
+
+def test_base_spans():
+    rng = random.Random(3)
+    parts = ["token", "=", ":", " ", '"', "secret", "api_key", "API-KEY", "abc", "deadbeef" * 3, "AKIA", "ABCDEFGH12345678", "é", "\n", "ſecret", "PASSWORD", "-", "0f"]
+    for _ in range(4000):
+        text = "".join(rng.choices(parts, k=rng.randint(0, 14)))
+        assert [(k, a, b) for k, a, b, _ in secrets.base_spans(text)] == plain(text), text
+
+
+def test_find(spark):
+    rows = [*ROWS, (20, "use Xk9vQ2mZ7Lp4Rt8WnB3cYd6F now, thoughtfullyordinarywording", "en", "s", 1)]
+    rows += [(30 + i, f"token = \"{random.Random(i).getrandbits(160):040x}\" internationalization Uncharacteristically", "en", "s", 1) for i in range(40)]
+    found = secrets.find_secrets(docs(spark, rows, spans="x", tokens=1, id=2)).collect()
+    assert len(found) == len(rows)
+    texts = {r[0]: r[1] for r in rows}
+    for r in found:
+        base = [(s.kind, s.start, s.end) for s in r.spans if s.kind != "markov"]
+        assert base == plain(texts[r.doc_id] if r.doc_id is not None else None)
+        extra = [s for s in r.spans if s.kind == "markov"]
+        assert [s.value for s in extra] == (["Xk9vQ2mZ7Lp4Rt8WnB3cYd6F"] if r.doc_id == 20 else [])
+        assert all(texts[20][s.start : s.end] == s.value for s in extra)
+    assert secrets.find_secrets(docs(spark, [])).count() == 0
+
+
+def test_written(spark):
+    row = secrets.find_secrets(docs(spark, ROWS[6:7])).select(secrets.written(F.col("spans")).alias("w")).first()
+    want = ",".join(f"{k}:{a}:{b}" for k, a, b in plain(ROWS[6][1]))
+    assert row.w == want and hashlib.sha256(want.encode()).hexdigest()
+
+
+def test_mask(spark):
+    rows = docs(spark, spans=1)
+    got = rows.select("doc_id", secrets.mask_secrets(rows).alias("m"), "text").collect()
+    for r in got:
+        if r.doc_id == 7:
+            assert r.m == '[SECRET]" näïve ſ K 漢字 😀'
+        else:
+            assert r.m == r.text

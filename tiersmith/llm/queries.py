@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tiersmith.llm import ftrl, mixing, packing, quality, secrets, simhash, toxicity
+from tiersmith.llm import ftrl, html_text, lm, mixing, near_vectors, packing, quality, secrets, simhash, topk, toxicity
 
 # Parameters of the mixture: target weights of sources, languages and topics, and what marks a topic.
 SOURCES = {f"src{i}": 1.0 for i in range(20)}
@@ -29,6 +29,13 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op2_context_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm.score_texts(_table(spark, sf_dir, "documents"), ~ftrl.held_out("doc_id", 7, 2))
+    return scored.select(
+        "doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"
+    )
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     model = quality.fit_quality(docs, labels.filter(~ftrl.held_out("doc_id", 5, 0)))
@@ -47,6 +54,11 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, vectors.filter(F.col("vec_id") % 50 == 0))
+
+
 def _spans_of(kind: str) -> Column:
     return F.size(F.filter("spans", lambda s: s.kind == kind)).cast("long")
 
@@ -61,6 +73,10 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     model = toxicity.fit_toxicity(docs, labels.filter(~ftrl.held_out("doc_id", 3, 1)))
@@ -72,11 +88,20 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(_table(spark, sf_dir, "documents"))
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", html_text.extract_text(F.col("html")).alias("text"))
+    return pages.withColumn("n_chars", F.length("text").cast("long"))
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_context_tree_scores": op2_context_tree_scores,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_mix_sources": op4_mix_sources,
+    "op5_exact_top_k": op5_exact_top_k,
     "op6_secret_scan": op6_secret_scan,
+    "op7_embedding_near_dedup": op7_embedding_near_dedup,
     "op8_toxicity": op8_toxicity,
     "op9_simhash": op9_simhash,
+    "op10_html_text": op10_html_text,
 }

@@ -125,6 +125,21 @@ def test_cleaning_job_from_csv(spark, tmp_path):
         assert [x["tags"] for x in back.collect()] == [["RPG", "Indie"]] * 4
 
 
+def test_rows_with_too_many_fields_go(spark, tmp_path):
+    (tmp_path / "t.csv").write_text('a,b\n1,2\n3\n"x, ""y"", z",4\n6,7,,\n8,9,,x\n"two\nlines, here",5\n"p",q,\n')
+    got = tables.read_tolerant_csv(spark, str(tmp_path / "t.csv"), ["a", "b"])
+    want = [("1", "2"), ("3", None), ('x, "y", z', "4"), ("two\nlines, here", "5")]
+    assert [tuple(r) for r in got.collect()] == want and got.count() == 4
+    assert [r.b for r in got.select("b").collect()] == ["2", None, "4", "5"]
+
+
+def test_ids_beyond_a_double(spark):
+    from tiersmith.operators.clean import coerce_id
+
+    rows = spark.createDataFrame([(x,) for x in ["9007199254740993", "9007199254740992", " 7 ", "8.0", "1e3", "x", None, str(2**60 + 1)]], "i string")
+    assert [r.i for r in coerce_id("i")(rows).collect()] == [9007199254740993, 9007199254740992, 7, 8, 1000, 2**60 + 1]
+
+
 def test_plan_pushes_filters_below_join(spark, tmp_path):
     spark.createDataFrame([tuple(store_row().values())], ", ".join(f"{c} string" for c in cat.STORE_COLUMNS)).write.parquet(str(tmp_path / "s"))
     spark.createDataFrame([tuple(usage_row().values())], ", ".join(f"{c} string" for c in cat.USAGE_COLUMNS)).write.parquet(str(tmp_path / "u"))

@@ -26,7 +26,7 @@ def test_exact_counts_and_cut_paths(spark, monkeypatch):
     df = spark.range(5000).select(F.col("id").alias("key"), (F.col("id") % 3 == 0).cast("int").alias("label"))
     whole = {r["key"] for r in ranking.take_per_class(df, "label", "key", {0: 777}, 3).collect()}
     assert len(whole) == 777 + 1667
-    monkeypatch.setattr(ranking, "CUT_ROWS", 5)  # forces prefix narrowing
+    monkeypatch.setattr(ranking, "PREFIX_DIGITS", 1)  # more passes
     assert {r["key"] for r in ranking.take_per_class(df, "label", "key", {0: 777}, 3).collect()} == whole
     ranked = ranking.class_rank(df, "label", "key", 3).filter("label = 0 and class_rank <= 777")
     assert {r["key"] for r in ranked.collect()} == {k for k in whole if k % 3}

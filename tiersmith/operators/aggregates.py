@@ -56,9 +56,9 @@ def mean_and_spread(df: DataFrame, groups: Sequence[str], value: str, prefix: st
     )
 
 
-def five_numbers(df: DataFrame, group: str, value: str, **limits) -> DataFrame:
+def five_numbers(df: DataFrame, group: str, value: str) -> DataFrame:
     """AG-16: minimum, quartiles and maximum per group."""
-    q = grouped_quantiles(df, group, value, [0.0, 0.25, 0.5, 0.75, 1.0], "q", **limits)
+    q = grouped_quantiles(df, group, value, [0.0, 0.25, 0.5, 0.75, 1.0], "q")
     names = ["q0", "q25", "q50", "q75", "q100"]
     return q.select(group, *[F.col("q")[i].alias(n) for i, n in enumerate(names)])
 

@@ -33,10 +33,13 @@ def computed_once(df: DataFrame, cols: Mapping[str, Column]) -> DataFrame:
 
 
 def coerce_id(col: str):
-    """PF-1: numeric ids as bigint; rows whose id is text go."""
-    return lambda df: df.withColumn(col, text.to_number(F.col(col)).try_cast("bigint")).filter(
-        F.col(col).isNotNull()
-    )
+    """PF-1: numeric ids as bigint; rows whose id is text go.
+
+    Whole numbers are read as such, since a double tells ids apart only below 2**53.
+    """
+    whole = text.strip(F.col(col).cast("string")).try_cast("bigint")
+    number = F.coalesce(whole, text.to_number(F.col(col)).try_cast("bigint"))
+    return lambda df: df.withColumn(col, number).filter(F.col(col).isNotNull())
 
 
 def suffix_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, suffixes: Sequence[str]):

@@ -284,23 +284,17 @@ def _whole_class(width: int, k: int):
 def point_neighbours(points: DataFrame, k: int, block_rows: int | None = None) -> DataFrame:
     """k nearest other points of every point, as ``pid, near, dist, rank`` rows.
 
-    ``points`` must be a written table; it is scanned several times. Small sets are compared
-    whole in one task unless a block size is given.
+    ``points`` must be a written table; it is scanned several times. Blocks grow with the root
+    of the number of points, up to what a task can hold.
     """
     head = points.select(F.size("vec").alias("w")).first()
     if head is None:
         return points.sparkSession.createDataFrame([], "pid bigint, near bigint, dist double, rank int")
     width = head["w"]
-    small = block_rows is None and points.limit(SMALL_CLASS + 1).count() <= SMALL_CLASS
-    block_rows = block_rows or max(64, min(MAX_BLOCK_ROWS, BLOCK_VALUES // width))
-    if small:
-        whole = points.select(F.lit(0).alias("c"), F.col("pid").alias("id"), "vec")
-        schema = "c int, id bigint, rank int, neighbour bigint, distance double"
-        compared = whole.groupBy("c").applyInArrow(_whole_class(width, k), schema)
-        return compared.select(
-            F.col("id").alias("pid"), F.col("neighbour").alias("near"), F.col("distance").alias("dist"), "rank"
-        )
-    layout = _layout(points, points.count(), width)
+    total = points.count()
+    most = max(64, min(MAX_BLOCK_ROWS, BLOCK_VALUES // width))
+    block_rows = block_rows or min(most, max(64, math.ceil(8 * math.sqrt(total))))
+    layout = _layout(points, total, width)
     celled = _with_cells(points, layout, width)
     stats = (
         celled.groupBy("cell")

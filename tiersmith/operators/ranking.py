@@ -4,20 +4,22 @@ Rows are ordered inside a class by ``md5(key|seed)``, so a sample depends only o
 key and the seed, never on partitioning. A class may hold most of the table, so no
 step sorts a class in one task:
 
-* a cut (rank n of a class) is located from counts per hash prefix; only the rows of one
-  narrow prefix reach the driver, and samples, splits and folds are then row-local;
+* a cut (rank n of a class) is located from counts per hash prefix; only counts reach the
+  driver, and samples, splits and folds are then row-local;
 * a full rank sorts inside (class, hash prefix) and adds the count of earlier prefixes.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CUT_ROWS = 20_000  # rows of one hash prefix that may be listed on the driver
 PREFIX_DIGITS = 3
+HASH_DIGITS = 32
+RANKED_ROWS = 50_000  # rows that a full rank sorts together, about
 LAST_HASH = "g"  # sorts after every hex digit
 
 
@@ -35,12 +37,14 @@ def class_cuts(
 ) -> dict:
     """Per class, the hash at each wanted rank: ``{class: [ranks]}`` to ``{class: [hashes]}``.
 
-    Keys must be unique. Only the key and the label are read, and counts per hash prefix
-    narrow each rank down to a prefix small enough to list.
+    Keys must be unique: rows of one key can't be told apart and end up on one side. Only the
+    key and the label are read. Each pass counts rows per hash prefix inside the one prefix that
+    holds a wanted rank, three digits more every time, until the rank is the last of a prefix:
+    after two passes for millions of rows, three for billions.
     """
     hashed = df.select(F.col(label).alias("c"), order_hash(key, seed).alias("h"))
     cuts = {c: [None] * len(ranks) for c, ranks in targets.items()}
-    open_ = {}  # (class, position) -> prefix, rank wanted inside it, rows inside it
+    open_ = {}  # (class, position) -> prefix, rank wanted inside it
     for c, ranks in targets.items():
         for i, n in enumerate(ranks):
             if n <= 0:
@@ -48,35 +52,32 @@ def class_cuts(
             elif n >= counts.get(c, 0):
                 cuts[c][i] = LAST_HASH
             else:
-                open_[c, i] = ("", n, counts[c])
-    while any(size > CUT_ROWS for _, _, size in open_.values()):
-        wide = {k: v for k, v in open_.items() if v[2] > CUT_ROWS}
-        digits = PREFIX_DIGITS + max(len(p) for p, _, _ in wide.values())
+                open_[c, i] = ("", n)
+    digits = 0
+    while open_:
+        digits = min(digits + PREFIX_DIGITS, HASH_DIGITS)
         found: dict = {}
-        counted = hashed.filter(_in_prefix(wide)).groupBy("c", F.substring("h", 1, digits).alias("p")).count()
+        counted = hashed.filter(_in_prefix(open_)).groupBy("c", F.substring("h", 1, digits).alias("p")).count()
         for r in counted.orderBy("c", "p").collect():
             found.setdefault(r["c"], []).append((r["p"], r["count"]))
-        for (c, i), (prefix, rank, _) in wide.items():
+        for (c, i), (prefix, rank) in list(open_.items()):
             for p, n in found[c]:
                 if not p.startswith(prefix):
                     continue
                 if rank <= n:
-                    open_[c, i] = (p, rank, n)
+                    open_[c, i] = (p, rank)
+                    if rank == n or digits == HASH_DIGITS:
+                        cuts[c][i] = p + LAST_HASH
+                        del open_[c, i]
                     break
                 rank -= n
-    if open_:
-        listed: dict = {}
-        for r in hashed.filter(_in_prefix(open_)).orderBy("c", "h").collect():
-            listed.setdefault(r["c"], []).append(r["h"])
-        for (c, i), (prefix, rank, _) in open_.items():
-            cuts[c][i] = [h for h in listed[c] if h.startswith(prefix)][rank - 1]
     return cuts
 
 
 def _in_prefix(open_: Mapping) -> Column:
     """Set membership of (class, hash prefix), so the hash is computed once per prefix length."""
     by_length: dict[int, set] = {}
-    for (c, _), (prefix, _, _) in open_.items():
+    for (c, _), (prefix, _) in open_.items():
         by_length.setdefault(len(prefix), set()).add(f"{_text(c)}|{prefix}")
     hit = F.lit(False)
     for n, wanted in by_length.items():
@@ -141,9 +142,15 @@ def stratified_sample(df: DataFrame, label: str, key: str, fraction: float, seed
 
 
 def class_rank(
-    df: DataFrame, label: str, key: str, seed: int = 1, col: str = "class_rank", digits: int = PREFIX_DIGITS
+    df: DataFrame, label: str, key: str, seed: int = 1, col: str = "class_rank", digits: int | None = None
 ) -> DataFrame:
-    """W-3: 1-based position of every row inside its class, in hash order."""
+    """W-3: 1-based position of every row inside its class, in hash order.
+
+    The class is sorted in parts of one hash prefix; its length follows from the largest class.
+    """
+    if digits is None:
+        largest = df.groupBy(label).count().agg(F.max("count")).first()[0] or 1
+        digits = max(1, math.ceil(math.log(max(largest / RANKED_ROWS, 1), 16)))
     hashed = df.withColumn("_h", order_hash(key, seed)).withColumn("_p", F.substring("_h", 1, digits))
     starts = (
         hashed.groupBy(F.col(label).alias("_c"), F.col("_p").alias("_q"))

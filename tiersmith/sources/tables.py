@@ -14,11 +14,11 @@ from tiersmith.functions.nested import parse_list
 def read_tolerant_csv(spark: SparkSession, path: str, columns: Sequence[str], multi_line: bool = True) -> DataFrame:
     """IO-1: all columns as text; rows with too many fields skipped, short rows padded with null.
 
-    One spare column tells long rows from short ones: a row that fills it exactly is not
-    flagged as malformed, a longer one leaves a value in it. A quoted file that spans lines
-    is read by one task, so land large sources as many files (gzip, not zip).
+    The reader flags rows with another number of fields than columns, and keeps their text;
+    only in those the separators outside of quotes are counted. A quoted file that spans
+    lines is read by one task, so land large sources as many files (gzip, not zip).
     """
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*columns, "_spare", "_malformed"]])
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*columns, "_malformed"]])
     raw = (
         spark.read.schema(schema)
         .option("header", True)
@@ -27,9 +27,14 @@ def read_tolerant_csv(spark: SparkSession, path: str, columns: Sequence[str], mu
         .option("escape", '"')
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", "_malformed")
+        .option("columnPruning", False)  # a pruned row does not show its number of fields
         .csv(path)
     )
-    return raw.filter(F.col("_malformed").isNotNull() & F.col("_spare").isNull()).select(*columns)
+    bare = F.regexp_replace("_malformed", r'"(?:[^"]|"")*"', "")
+    fields = F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit(""))) + 1
+    # The reader refuses plans that need the flag alone, so a count has to touch a column.
+    touched = F.length(F.coalesce(F.col(columns[0]), F.lit(""))) >= 0
+    return raw.filter(F.col("_malformed").isNull() | ((fields <= len(columns)) & touched)).select(*columns)
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -9,15 +9,15 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tiersmith.llm.batches import text_batches
 from tiersmith.llm.lookup import SPREAD, mix, span_hashes
 
 #: Bytes of text that are turned into features at once.
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 
 
 @dataclass(frozen=True)
@@ -105,7 +105,7 @@ def _texts(column: pa.Array) -> list[bytes]:
 
 
 def fit_rows(rows: list[np.ndarray], labels: np.ndarray, slots: int, settings: Settings) -> np.ndarray:
-    """Weights after passes over ``rows`` (distinct slots each) in the order given."""
+    """Weights after passes over ``rows``, distinct slots with that of the bias, in the order given."""
     z, n = np.zeros(slots), np.zeros(slots)
 
     def weights(z: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -139,7 +139,7 @@ def train(
         share = int(min(1.0, 1.05 * settings.sample / total + 0.001) * 1_000_000)
         known = known.filter(F.pmod(spread, F.lit(1_000_000)) < share).orderBy(spread, "_id").limit(settings.sample)
     shards = -(-min(max(total, 1), settings.sample) // settings.shard_rows)
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    texts = text_batches(docs).select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
     rows = texts.join(F.broadcast(known), "_id").select(
         F.pmod(F.hash("_id"), F.lit(shards)).alias("shard"), spread.alias("turn"), "_label", "_text"
     )
@@ -152,21 +152,23 @@ def train(
                 pairs = np.unique(owner << features.bits | slot)
                 cuts = np.searchsorted(pairs >> features.bits, np.arange(len(part) + 1))
                 slot = (pairs & ((1 << features.bits) - 1)).astype(np.int32)
-                found += [slot[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+                found += [np.append(slot[a:b], np.int32(0)) for a, b in zip(cuts, cuts[1:], strict=False)]
             slots = pa.array(found, pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], slots], names=["shard", "turn", "y", "slots"])
 
-    def fit(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["turn", "y"], kind="stable")
-        rows = [np.append(s, 0) for s in group["slots"]]
-        w = fit_rows(rows, group["y"].to_numpy(), 1 << features.bits, settings)
+    def fit(group: pa.Table) -> pa.Table:
+        turn, y = group.column("turn").to_numpy(), group.column("y").to_numpy()
+        order = np.lexsort((y, turn))
+        slots = group.column("slots").combine_chunks()
+        flat, cuts = slots.flatten().to_numpy(), np.append(0, np.cumsum(slots.value_lengths().to_numpy()))
+        w = fit_rows([flat[cuts[k] : cuts[k + 1]] for k in order], y[order], 1 << features.bits, settings)
         at = np.flatnonzero(w)
-        return pd.DataFrame({"slot": at, "w": w[at]})
+        return pa.table({"slot": at, "w": w[at]})
 
     ready = rows.mapInArrow(sparse, "shard int, turn bigint, y int, slots array<int>")
-    fitted = ready.groupBy("shard").applyInPandas(fit, "slot bigint, w double")
-    mean = fitted.groupBy("slot").agg((F.sum("w") / shards).alias("w")).toPandas().sort_values("slot")
-    return mean["slot"].to_numpy(np.int64), mean["w"].to_numpy(np.float64)
+    fitted = ready.groupBy("shard").applyInArrow(fit, "slot bigint, w double")
+    mean = fitted.groupBy("slot").agg((F.sum("w") / shards).alias("w")).orderBy("slot").toArrow()
+    return mean.column("slot").to_numpy(), mean.column("w").to_numpy()
 
 
 def score_column(text: Column, model: tuple[np.ndarray, np.ndarray], features: Features) -> Column:

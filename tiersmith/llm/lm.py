@@ -24,12 +24,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tiersmith.llm.batches import text_batches
 from tiersmith.llm.lookup import KeyIndex, span_hashes
 from tiersmith.session import cut_lineage
 
 DEPTH = 4
 #: Bytes of text in a block, and bytes looked at together within one.
-BLOCK, CHUNK = 24 << 20, 1 << 21
+BLOCK, CHUNK = 16 << 20, 1 << 19
 #: Stands before and after each text; never part of UTF-8.
 EDGE = 255
 #: Key of the token that ends a text. Other tokens have 64-bit hashes.
@@ -98,7 +99,7 @@ def in_blocks(docs: DataFrame, id_col: str, text_col: str, training: Column) ->
             columns = [batch.column(0), pa.array(texts, pa.binary()), batch.column(2), pa.array(at, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "text", "train", "block"])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), training.alias("train"))
+    rows = text_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), training.alias("train"))
     return rows.mapInArrow(work, f"id {kind}, text binary, train boolean, block bigint")
 
 
@@ -132,7 +133,7 @@ def block_keys(blocks: DataFrame, depth: int) -> DataFrame:
                             parts[kind].append((key, n * flag))
                         parts[WORD].append((np.array([END]), np.array([len(part) * flag])))
                 for kind in parts:
-                    if sum(len(k) for k, _ in parts[kind]) > 1 << 21:
+                    if sum(len(k) for k, _ in parts[kind]) > 1 << 19:
                         parts[kind] = _merge(parts[kind])
         yield from flush()
 

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tiersmith.llm.batches import text_batches
 from tiersmith.llm.lookup import KeyIndex, ranges, span_hashes
 from tiersmith.session import cut_lineage
 
@@ -30,7 +31,7 @@ from tiersmith.session import cut_lineage
 ODD = re.compile("[^\t-\r\x20-~À-ÖØ-öø-ɏ]")
 END_OF_TEXT = "<|endoftext|>"
 #: Distinct words that a task remembers the tokens of, and bytes of text that it splits at once.
-MEMORY, CHUNK = 1_000_000, 1 << 21
+MEMORY, CHUNK = 400_000, 1 << 19
 BORDER, LETTER, DIGIT, SPACE, OTHER = range(5)
 
 
@@ -189,7 +190,7 @@ def token_pieces(
                     rows.append((piece, a, b - a, ids[4 * a : 4 * b], part, turns[b - a]))
                     turns[b - a] += 1
                 size += len(ids)
-                if size > 1 << 24:
+                if size > 1 << 22:
                     yield record(batch, at, rows)
                     at, rows, size = [], [], 0
             if rows:
@@ -200,7 +201,7 @@ def token_pieces(
         columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
         return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), *columns], names=names)
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = text_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     schema = f"id {kind}, piece int, start bigint, length bigint, token_ids binary, part int, turn bigint"
     return rows.mapInArrow(work, schema)
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tiersmith.llm import ftrl, html_text, lm, mixing, near_vectors, packing, quality, secrets, simhash, topk, toxicity
+from tiersmith.llm.batches import text_batches
 
 # Parameters of the mixture: target weights of sources, languages and topics, and what marks a topic.
 SOURCES = {f"src{i}": 1.0 for i in range(20)}
@@ -89,7 +90,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = _table(spark, sf_dir, "pages").select("page_id", "url", html_text.extract_text(F.col("html")).alias("text"))
+    pages = text_batches(_table(spark, sf_dir, "pages")).select("page_id", "url", html_text.extract_text(F.col("html")).alias("text"))
     return pages.withColumn("n_chars", F.length("text").cast("long"))
 
 

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tiersmith.llm.batches import text_batches
 from tiersmith.session import cut_lineage
 
 KINDS = ("assign", "access", "hex", "markov")
@@ -94,7 +95,7 @@ def scan(docs: DataFrame, id_col: str | None, text_col: str) -> DataFrame:
             )
 
     ident = F.col(id_col) if id_col else F.lit(None).cast(kind)
-    rows = docs.select(ident.alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = text_batches(docs).select(ident.alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(work, f"id {kind}, spans {SPANS}, tokens {TOKENS}")
 
 

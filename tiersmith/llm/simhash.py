@@ -20,6 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tiersmith.llm.batches import text_batches
 from tiersmith.llm.graph import connected_components
 from tiersmith.session import cut_lineage
 
@@ -60,7 +61,7 @@ def with_fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int
             fps = [fingerprint(t.as_py() or b"", shingle) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=["id", "fp"])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = text_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(work, f"id {kind.simpleString()}, fp bigint")
 
 

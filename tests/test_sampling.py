@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
@@ -36,6 +37,17 @@ def test_exact_counts_and_cut_paths(spark, monkeypatch):
     assert {r["count"] for r in folds if r["label"] == 1} == {333, 334} and len(folds) == 10
 
 
+def test_repeated_keys_are_refused(spark):
+    from tiersmith.plans.cleaning import with_row_key
+
+    rows = spark.createDataFrame([(1, 0, [0.0]), (1, 0, [1.0]), (2, 4, [1.0]), (3, 4, [2.0])], "id bigint, label int, v array<double>")
+    rows = rows.withColumn("features", array_to_vector("v"))
+    with pytest.raises(ValueError, match="id = 1 stands on 2 rows"):
+        sampling.smotenc(rows, "id", "label", "features", {4: 5}, 1)
+    keyed = with_row_key(rows)
+    assert sampling.smotenc(keyed, "key", "label", "features", {4: 5}, 1).count() == 7
+
+
 def test_smotenc_geometry(spark):
     rng = np.random.default_rng(0)
     y = np.array([0] * 60 + [3] * 40 + [4] * 8)

@@ -35,32 +35,53 @@ def explain_sample(df: DataFrame, label: str, key: str, size: int = 2000, seed:
     return take_per_class(df, label, key, proportional_allocation(counts, size), seed, counts)
 
 
+WALK_VALUES = 2_000_000  # doubles of walks that a task builds at once
+
+
+def _scrambled(*parts: np.ndarray) -> np.ndarray:
+    """Well-mixed 64-bit numbers from arrays of whole numbers that are broadcast together."""
+    h = np.uint64(0)
+    for part in parts:
+        h = (h ^ np.asarray(part).astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = h ^ (h >> np.uint64(27))
+    return h
+
+
 def _walks(background: np.ndarray, permutations: int, seed: int):
-    """Every row becomes d+1 rows per permutation, switching one feature at a time to its own value."""
+    """Every row becomes d+1 rows per permutation, switching one feature at a time to its own value.
+
+    Orders and background rows follow from hashes of key, walk and slot, for a whole batch at once.
+    """
+    d = background.shape[1]
+
+    def built(keys: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+        n, walk, step = len(keys), np.arange(permutations), np.arange(d + 1)
+        mine = _scrambled(np.uint64(seed), keys[:, None], walk[None, :])
+        order = np.argsort(_scrambled(mine[:, :, None], np.arange(d)[None, None, :]), axis=2, kind="stable")
+        place = np.argsort(order, axis=2, kind="stable")
+        start = background[(mine % np.uint64(len(background))).astype(np.int64)]
+        own = place[:, :, None, :] < step[None, None, :, None]
+        rows = np.where(own, x[:, None, None, :], start[:, :, None, :]).reshape(-1, d)
+        slots = np.concatenate([np.full((n, permutations, 1), -1), order], axis=2).ravel()
+        offsets = np.arange(0, d * len(rows) + 1, d, dtype=np.int32) if d else np.zeros(len(rows) + 1, np.int32)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.repeat(keys, permutations * (d + 1)), pa.int64()),
+                pa.array(np.tile(np.repeat(walk, d + 1), n), pa.int32()),
+                pa.array(np.tile(step, n * permutations), pa.int32()),
+                pa.array(slots, pa.int32()),
+                pa.ListArray.from_arrays(pa.array(offsets), pa.array(rows.ravel(), pa.float64())),
+            ],
+            names=["key", "walk", "step", "slot", "v"],
+        )
 
     def run(batches):
-        d = background.shape[1]
+        size = max(1, WALK_VALUES // max(1, permutations * (d + 1) * d))
         for b in batches:
-            x = matrix(b.column("v"), d)
-            for i, key in enumerate(b.column("key").to_pylist()):
-                rng = np.random.default_rng([seed, key & 0x7FFFFFFFFFFFFFFF])
-                for p in range(permutations):
-                    order = rng.permutation(d)
-                    place = np.empty(d, int)
-                    place[order] = np.arange(d)
-                    z = background[rng.integers(len(background))]
-                    steps = np.arange(d + 1)
-                    rows = np.where(place[None, :] < steps[:, None], x[i], z)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([key] * (d + 1), pa.int64()),
-                            pa.array([p] * (d + 1), pa.int32()),
-                            pa.array(steps, pa.int32()),
-                            pa.array([-1, *order.tolist()], pa.int32()),
-                            _lists(list(rows), pa.float64()),
-                        ],
-                        names=["key", "walk", "step", "slot", "v"],
-                    )
+            keys, x = b.column("key").to_numpy(zero_copy_only=False).astype(np.int64), matrix(b.column("v"), d)
+            for a in range(0, len(keys), size):
+                yield built(keys[a : a + size], x[a : a + size])
 
     return run
 

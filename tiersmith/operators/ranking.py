@@ -27,6 +27,13 @@ def order_hash(key: str, seed: int) -> Column:
     return F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed))))
 
 
+def require_unique(df: DataFrame, key: str) -> None:
+    """Raise if a key stands on several rows, where a sample or a join by key would mix them."""
+    twice = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).collect()
+    if twice:
+        raise ValueError(f"{key} = {twice[0][0]!r} stands on {twice[0][1]} rows; give each row a key of its own")
+
+
 def class_counts(df: DataFrame, label: str) -> dict:
     """AG-1 on the driver: one row per class; unlabelled rows are not a class."""
     return {r[0]: r[1] for r in df.filter(F.col(label).isNotNull()).groupBy(label).count().collect()}

@@ -9,6 +9,7 @@ from tiersmith.functions import dates, nested, text
 from tiersmith.operators import clean
 from tiersmith.operators.aggregates import drop_report
 from tiersmith.plans import catalogue as cat
+from tiersmith.session import cut_lineage
 
 
 def join_sources(store: DataFrame, usage: DataFrame) -> DataFrame:
@@ -46,7 +47,10 @@ def derive(df: DataFrame) -> DataFrame:
 
 
 def clean_catalogue(store: DataFrame, usage: DataFrame, as_of: str) -> DataFrame:
-    """Steps 1-10 of the cleaning job as one lazy plan; ``steam_appid`` stays as the row key."""
+    """Steps 1-10 of the cleaning job as one lazy plan.
+
+    ``steam_appid`` stays; where a source repeats an id, :func:`with_row_key` tells its rows apart.
+    """
     return (
         join_sources(store, usage)
         .transform(clean.keep_type("type", "game"))
@@ -65,6 +69,11 @@ def clean_catalogue(store: DataFrame, usage: DataFrame, as_of: str) -> DataFrame
     )
 
 
+def with_row_key(df: DataFrame, col: str = "key") -> DataFrame:
+    """``df`` with a bigint key of each row's own, written once so that the keys stay as they are."""
+    return cut_lineage(df.withColumn(col, F.monotonically_increasing_id()))
+
+
 def cleaning_report(store: DataFrame, usage: DataFrame, as_of: str) -> DataFrame:
     """AG-10: rows lost at each filter, in order, from one pass over the joined rows."""
     raw = F.col("release_date")

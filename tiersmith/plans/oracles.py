@@ -175,9 +175,13 @@ SELECT doc_id, CAST(slot AS INTEGER) AS slot, round(w / sqrt(sum(w * w) OVER (PA
     "robust_scale": "SELECT l_orderkey, l_linenumber, "
     + ", ".join(f"round({_scaled(c)}, 6) AS {c}" for c in CELLS)
     + " FROM lineitem",
-    "inverse_scale": "SELECT l_orderkey, l_linenumber, "
-    + ", ".join(f"round({c}, 4) AS {c}" for c in CELLS)
-    + " FROM lineitem",
+    "inverse_scale": "WITH s AS (SELECT "
+    + ", ".join(f"quantile_cont({c}::DOUBLE, [0.25, 0.5, 0.75]) AS {c}" for c in CELLS)
+    + " FROM lineitem) SELECT l_orderkey, l_linenumber, "
+    + ", ".join(
+        f"round(l.{c}, 4) AS {c}, round((l.{c} - s.{c}[2]) / (s.{c}[3] - s.{c}[1]), 6) AS {c}_scaled" for c in CELLS
+    )
+    + " FROM lineitem l, s",
     "mode_impute_onehot": """
 WITH h AS (SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN o_orderpriority END AS p FROM orders),
   m AS (SELECT p FROM h WHERE p IS NOT NULL GROUP BY p ORDER BY count(*) DESC, p LIMIT 1),
@@ -190,8 +194,10 @@ SELECT o_orderkey, """
     + " FROM f",
     "corr_matrix": f"WITH {LINE} "
     + " UNION ALL ".join(
-        f"SELECT '{a}' AS a, '{b}' AS b, round(abs(corr({a}, {b})), 6) AS r FROM line" for a, b in PAIRS if a in CELLS
-    ),
+        f"SELECT '{a}' AS a, '{b}' AS b, CASE WHEN max({b}) > min({b}) THEN round(abs(corr({a}, {b})), 6) END AS r FROM line"
+        for a, b in PAIRS
+    )
+    + "".join(f" UNION ALL SELECT '{a}', 'flag', CAST(NULL AS DOUBLE)" for a in NAMES),  # a constant
     "corr_prune": f"WITH {LINE}, r AS ("
     + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, abs(corr({a}, {b})) AS r FROM line" for a, b in PAIRS)
     + "), names AS (SELECT unnest(['l_quantity','l_extendedprice','l_discount','l_tax','gross','net','flag']) AS name)"
@@ -286,7 +292,7 @@ WITH c AS (SELECT date_trunc('hour', ts) AS block, event_type, round(avg(value),
                count(*) OVER (PARTITION BY other, abs(diff)) AS t FROM d WHERE diff <> 0),
   s AS (SELECT other, count(*) AS n, sum(CASE WHEN diff > 0 THEN r ELSE 0 END) AS wp,
           sum(CASE WHEN diff < 0 THEN r ELSE 0 END) AS wm, sum(t * t - 1) AS tt FROM r GROUP BY 1)
-SELECT other, n, wp AS w_plus, wm AS w_minus,
+SELECT other, n, wp AS w_plus, wm AS w_minus, least(wp, wm) AS statistic,
   round((least(wp, wm) - n * (n + 1) / 4.0) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - tt / 48.0), 6) AS z FROM s""",
     "knn_in_class": """
 WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
@@ -295,16 +301,18 @@ WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embedding
   r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY distance, neighbour) AS rank FROM d)
 SELECT label, vec_id, CAST(rank AS INTEGER) AS rank, neighbour, round(distance, 6) AS distance FROM r WHERE rank <= 3""",
     "tomek_links": """
-WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
-  n AS (SELECT a.vec_id AS id, b.vec_id AS nn, a.label AS la, b.label AS lb FROM e a JOIN e b ON a.vec_id <> b.vec_id
-        QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.v, b.v), b.vec_id) = 1)
-SELECT x.id AS a, x.nn AS b, x.la AS label_a, x.lb AS label_b FROM n x JOIN n y ON x.nn = y.id AND y.nn = x.id
-WHERE x.id < x.nn AND x.la <> x.lb""",
+WITH e AS MATERIALIZED (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+  n AS MATERIALIZED (
+    SELECT a.vec_id AS id, a.label AS la, min({'d': list_distance(a.v, b.v), 'id': b.vec_id, 'label': b.label}) AS m
+    FROM e a JOIN e b ON a.vec_id <> b.vec_id GROUP BY 1, 2)
+SELECT x.id AS a, x.m.id AS b, x.la AS label_a, x.m.label AS label_b FROM n x JOIN n y ON x.m.id = y.id AND y.m.id = x.id
+WHERE x.id < x.m.id AND x.la <> x.m.label""",
     "tomek_removed": """
-WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
-  n AS (SELECT a.vec_id AS id, b.vec_id AS nn, a.label AS la, b.label AS lb FROM e a JOIN e b ON a.vec_id <> b.vec_id
-        QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.v, b.v), b.vec_id) = 1),
-  gone AS (SELECT x.id FROM n x JOIN n y ON x.nn = y.id AND y.nn = x.id WHERE x.la <> x.lb
+WITH e AS MATERIALIZED (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+  n AS MATERIALIZED (
+    SELECT a.vec_id AS id, a.label AS la, min({'d': list_distance(a.v, b.v), 'id': b.vec_id, 'label': b.label}) AS m
+    FROM e a JOIN e b ON a.vec_id <> b.vec_id GROUP BY 1, 2),
+  gone AS (SELECT x.id FROM n x JOIN n y ON x.m.id = y.id AND y.m.id = x.id WHERE x.la <> x.m.label
            AND x.la <> (SELECT label FROM embeddings GROUP BY label ORDER BY count(*), label LIMIT 1))
 SELECT vec_id, label FROM embeddings WHERE vec_id NOT IN (SELECT id FROM gone)""",
     "pad_and_guard": """

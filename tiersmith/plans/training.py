@@ -17,7 +17,7 @@ from tiersmith.operators.metrics import class_report, confusion, macro_metrics
 from tiersmith.operators.models import BoostedTrees, ImportanceSelector
 from tiersmith.operators.pipeline import ImbalancePipeline, out_of_fold
 from tiersmith.operators.pls import CorrelationPruner, PlsDa
-from tiersmith.operators.ranking import mark_split
+from tiersmith.operators.ranking import mark_split, require_unique
 from tiersmith.plans import catalogue as cat
 from tiersmith.session import cut_lineage
 
@@ -96,10 +96,12 @@ def train(
 ) -> Trained:
     """Split, fit, calibrate out of fold, evaluate on the held-out part, refit on everything (ML-6).
 
-    ``df`` should be a written table, since every fit scans it; ``make`` returns an unfitted
+    ``df`` should be a written table, since every fit scans it, and ``key`` be unique (see
+    ``cleaning.with_row_key``); ``make`` returns an unfitted
     pipeline. Weights found on the 80 % model are kept for the
     production refit.
     """
+    require_unique(df, key)
     split = mark_split(df, label, key, 0.2, seed)
     fit_rows, held_out = split.filter("NOT is_test").drop("is_test"), split.filter("is_test").drop("is_test")
     evaluated = make().fit(fit_rows)

@@ -43,7 +43,7 @@ def test_edges(spark):
 
 
 def test_sampled_tokens_have_the_target_shares(spark):
-    rows = [(i, "a b c d " * (1 + i % 5), ["en", "de"][i % 3 == 0], f"src{i % 2 if i % 10 else 2}", 1) for i in range(30_000)]
+    rows = [(i, "a b c d " * (1 + i % 7), ["en", "de"][i % 3 == 0], f"src{i % 2 if i % 10 else 2}", 1) for i in range(30_000)]
     kinds = {"source": (F.col("source"), {"src0": 1, "src1": 1, "src2": 1}), "lang": (F.col("lang"), {"en": 1, "de": 1})}
     count = mixing.word_count(F.col("text"))
     kept = mixing.sample_mixture(docs(spark, rows), kinds, count, keep=0.2).withColumn("n", count)

@@ -29,6 +29,8 @@ HEX = re.compile(r"[0-9a-f]{24,}")  # the whole run, as nothing shorter counts
 LEAST = {"assign": 6, "access": 20}
 #: Tokens that the models judge.
 TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=.@-])[A-Za-z0-9+/_=-]{16,}(?![A-Za-z0-9+/_=.@-])")
+#: Characters of encoded secrets.
+ALPHABET = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_="
 #: Printable ASCII, and one more for the start and for all else.
 SIZE = 96
 TOKENS = "array<struct<start:int,token:string>>"
@@ -99,11 +101,18 @@ def scan(docs: DataFrame, id_col: str | None, text_col: str) -> DataFrame:
     return rows.mapInArrow(work, f"id {kind}, spans {SPANS}, tokens {TOKENS}")
 
 
-def fit_models(scanned: DataFrame, smoothing: float = 0.5) -> np.ndarray:
+def pair_chances(counts: np.ndarray, weight: float = 10.0) -> np.ndarray:
+    """Chance of each next character: pair counts, backed off to single ones, these to a uniform choice."""
+    single = (counts.sum(axis=0) + 0.5) / (counts.sum() + 0.5 * SIZE)
+    return (counts + weight * single) / (counts.sum(axis=1, keepdims=True) + weight)
+
+
+def fit_models(scanned: DataFrame) -> np.ndarray:
     """Log-likelihood ratio of random against ordinary for each character pair, from all labelled samples.
 
-    Counts are summed per pair inside the tasks; at most 2 x 96 x 96 sums come back. Without
-    samples of a kind its model is uniform.
+    Counts are summed per pair inside the tasks; at most 2 x 96 x 96 sums come back. Random
+    strings are half what the samples show and half a free choice of ``ALPHABET``, as the samples
+    need not show every kind. Without samples of a kind its counts are zero.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,9 +133,10 @@ def fit_models(scanned: DataFrame, smoothing: float = 0.5) -> np.ndarray:
     counted = scanned.select("spans", "tokens").mapInArrow(count, "label bigint, code bigint, n bigint")
     for label, code, n in counted.groupBy("label", "code").sum("n").collect():
         table[label, code // SIZE, code % SIZE] = n
-    table += smoothing
-    logs = np.log(table / table.sum(axis=2, keepdims=True))
-    return (logs[1] - logs[0]).ravel()
+    free = np.full(SIZE, 1e-6)
+    free[np.frombuffer(ALPHABET, np.uint8) - 32] = 1.0 / len(ALPHABET)
+    drawn = 0.5 * pair_chances(table[1]) + 0.5 * free
+    return np.log(drawn / pair_chances(table[0])).ravel()
 
 
 @dataclass(frozen=True)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tiersmith.llm import ftrl
 
 FEATURES = ftrl.Features(fold_case=True, marks=False, gaps=(1, 2))
-SETTINGS = ftrl.Settings(rate=2.0, l1=5.0, epochs=8)
+SETTINGS = ftrl.Settings(rate=4.0, l1=4.0, epochs=8)
 THRESHOLD = 0.7
 
 

@@ -7,15 +7,18 @@ bits and half the product of its children's, the nodes of contexts longer by one
 tree weighs every way to cut contexts off, and the next bit is predicted by a mixture over all
 depths, whose weights the training texts decide.
 
-Nothing of the model is broadcast or gathered. Texts stand in blocks of bounded size; a block
-lists its distinct byte strings of ``depth + 1``, training counts of all blocks are summed, the tree
-is built level by level with grouped sums, each distinct string gets its code length, and a block
-meets the code lengths of its own strings. Words of the unigram base go the same way.
+Nothing of the model is broadcast or gathered. Texts stand in blocks of bounded size, bucketed so
+that they are never shuffled; a block lists its distinct byte strings of ``depth + 1``, training
+counts of all blocks are summed, the tree is built level by level with grouped sums, each distinct
+string gets its code length, and a block meets the code lengths of its own strings. Words of the
+unigram base go the same way, but a block gets back only those that other blocks have too, as it
+can count its own.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,18 +29,17 @@ from pyspark.sql import functions as F
 
 from tiersmith.llm.batches import text_batches
 from tiersmith.llm.lookup import KeyIndex, span_hashes
-from tiersmith.session import cut_lineage
+from tiersmith.session import cut_lineage, intermediates
 
 DEPTH = 4
 #: Bytes of text in a block, and bytes looked at together within one.
-BLOCK, CHUNK = 16 << 20, 1 << 19
+BLOCK, CHUNK = 32 << 20, 1 << 19
 #: Stands before and after each text; never part of UTF-8.
 EDGE = 255
-#: Key of the token that ends a text. Other tokens have 64-bit hashes.
-END = np.uint64(0)
+#: Words have this bit in their key, a 64-bit hash; byte strings don't. Alone it is the token that ends a text.
+WORD = np.uint64(1 << 63)
 SPACES = np.zeros(256, bool)
 SPACES[[9, 10, 11, 12, 13, 32]] = True
-GRAM, WORD = 0, 1
 
 
 def text_chunks(texts: list[bytes]) -> Iterator[list[bytes]]:
@@ -74,7 +76,8 @@ def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     edges = np.flatnonzero(np.diff(space, prepend=True, append=True))
     starts, ends = edges[::2], edges[1::2]
     bounds = np.cumsum([len(t) + 1 for t in texts])
-    return np.maximum(span_hashes(data, starts, ends), np.uint64(1)), np.searchsorted(bounds, starts, side="right")
+    hashes = np.maximum(span_hashes(data, starts, ends) & ~WORD, np.uint64(1))
+    return hashes | WORD, np.searchsorted(bounds, starts, side="right")
 
 
 def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -99,24 +102,24 @@ def in_blocks(docs: DataFrame, id_col: str, text_col: str, training: Column) ->
             columns = [batch.column(0), pa.array(texts, pa.binary()), batch.column(2), pa.array(at, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "text", "train", "block"])
 
-    rows = text_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), training.alias("train"))
+    rows = text_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.coalesce(training, F.lit(False)).alias("train"))
     return rows.mapInArrow(work, f"id {kind}, text binary, train boolean, block bigint")
 
 
 def block_keys(blocks: DataFrame, depth: int) -> DataFrame:
-    """Rows ``(block, kind, key, n)``: distinct byte strings and words of a block, with their training count."""
+    """Rows ``(block, key, n)``: distinct byte strings and words of a block, with their training count."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, parts = None, {GRAM: [], WORD: []}
+        now: int | None = None
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for kind, found in parts.items():
-                for keys, n in _merge(found) if found else []:
-                    for a in range(0, len(keys), 1 << 17):
-                        key, count = keys[a : a + (1 << 17)].view(np.int64), n[a : a + (1 << 17)]
-                        whole = [np.full(len(key), now, np.int64), np.full(len(key), kind, np.int32), key, count]
-                        yield pa.RecordBatch.from_arrays(list(map(pa.array, whole)), names=["block", "kind", "key", "n"])
-                parts[kind] = []
+            for keys, n in _merge(parts) if parts else []:
+                for a in range(0, len(keys), 1 << 17):
+                    key, count = keys[a : a + (1 << 17)].view(np.int64), n[a : a + (1 << 17)]
+                    columns = [np.full(len(key), now, np.int64), key, count]
+                    yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["block", "key", "n"])
+            parts.clear()
 
         for batch in batches:
             ids = batch.column(2).to_numpy()
@@ -128,16 +131,15 @@ def block_keys(blocks: DataFrame, depth: int) -> DataFrame:
                 for flag in (False, True):
                     rows = np.flatnonzero((ids == block) & (train == flag))
                     for part in text_chunks([texts[i] for i in rows]):
-                        for kind, keys in ((GRAM, byte_strings(part, depth)[0]), (WORD, words(part)[0])):
+                        for keys in (byte_strings(part, depth)[0], words(part)[0]):
                             key, n = np.unique(keys, return_counts=True)
-                            parts[kind].append((key, n * flag))
-                        parts[WORD].append((np.array([END]), np.array([len(part) * flag])))
-                for kind in parts:
-                    if sum(len(k) for k, _ in parts[kind]) > 1 << 19:
-                        parts[kind] = _merge(parts[kind])
+                            parts.append((key, n * flag))
+                        parts.append((np.array([WORD]), np.array([len(part) * flag])))
+                if sum(len(k) for k, _ in parts[1:]) > 1 << 20:
+                    parts = _merge(parts)
         yield from flush()
 
-    return blocks.select("text", "train", "block").mapInArrow(work, "block bigint, kind int, key bigint, n bigint")
+    return blocks.select("text", "train", "block").mapInArrow(work, "block bigint, key bigint, n bigint")
 
 
 def _log_gamma(x: Column) -> Column:
@@ -174,21 +176,20 @@ def context_tree(counts: DataFrame, depth: int) -> list[DataFrame]:
     ``counts`` holds ``(gram, n)``, byte strings of the training texts. Levels are summed from the
     deepest up and mixed from the root down; each is written, as both passes read it.
     """
+    own = _estimate(F.col("zeros").cast("double"), F.col("ones").cast("double"))
     levels: list[DataFrame] = []
     for d in range(depth, -1, -1):
         nodes = _decisions(counts, "n").groupBy("key").agg(
             F.sum(F.when(F.col("bit") == 0, F.col("n")).otherwise(0)).alias("zeros"),
             F.sum(F.when(F.col("bit") == 1, F.col("n")).otherwise(0)).alias("ones"),
         )
-        nodes = nodes.withColumn("own", _estimate(F.col("zeros").cast("double"), F.col("ones").cast("double")))
-        if d == depth:
-            nodes = nodes.withColumns({"below": F.lit(0.0), "weighted": F.col("own")})
-        else:
-            below = levels[0].groupBy(_low(F.col("key"), d + 1).alias("key")).agg(F.sum("weighted").alias("below"))
+        if levels:
             gap = F.abs(F.col("own") - F.col("below"))
             both = F.greatest("own", "below") + F.log1p(F.exp(-gap)) - math.log(2.0)
-            nodes = nodes.join(below, "key").withColumn("weighted", both)
-        levels.insert(0, cut_lineage(nodes.select("key", "zeros", "ones", "own", "below", "weighted")))
+            weighted = levels[0].withColumn("own", own).withColumn("weighted", both if d + 1 < depth else F.col("own"))
+            below = weighted.groupBy(_low(F.col("key"), d + 1).alias("key")).agg(F.sum("weighted").alias("below"))
+            nodes = nodes.join(below, "key")
+        levels.insert(0, cut_lineage(nodes))
         counts = counts.groupBy(_low(F.col("gram"), d).alias("gram")).agg(F.sum("n").alias("n"))
     found = []
     entering = levels[0].withColumns({"sure": F.lit(0.0), "open": F.lit(1.0)})
@@ -197,7 +198,7 @@ def context_tree(counts: DataFrame, depth: int) -> list[DataFrame]:
         if d == depth:
             found.append(cut_lineage(entering.select("key", (F.col("sure") + F.col("open") * one).alias("p"))))
             break
-        share = 1.0 / (1.0 + F.exp(F.col("below") - F.col("own")))
+        share = 1.0 / (1.0 + F.exp(F.col("below") - own))
         leaving = entering.select(
             "key", (F.col("sure") + F.col("open") * share * one).alias("sure"), (F.col("open") * (1.0 - share)).alias("open")
         )
@@ -231,39 +232,51 @@ def code_lengths(grams: DataFrame, depth: int) -> DataFrame:
     return known.unionByName(best.groupBy("gram").agg(F.sum(F.log(chance)).alias("value")))
 
 
-def _scored(kind: str, depth: int, tokens: int):
+def _scored(kind: str, depth: int, tokens: int, types: int):
     schema = f"id {kind}, train boolean, n_tokens bigint, n_known bigint, base_score double, score double, n_bytes bigint"
 
-    def work(texts: pa.Table, values: pa.Table) -> pa.Table:
-        kinds = values.column("kind").to_numpy()
-        tables = {}
-        for k in (GRAM, WORD):
-            rows = np.flatnonzero(kinds == k)
-            keys, first = np.unique(values.column("key").to_numpy()[rows].view(np.uint64), return_index=True)
-            rows = rows[first]
-            tables[k] = KeyIndex(keys), values.column("value").to_numpy()[rows], values.column("n").to_numpy()[rows] > 0
-        index, logs, _ = tables[GRAM]
-        word_index, base, seen = tables[WORD]
-        end = word_index.find(np.array([END]))[0]
-        out = []
-        for part in text_chunks(texts.column("text").to_pylist()):
-            keys, starts = byte_strings(part, depth)
-            score = np.add.reduceat(logs[index.find(keys)], starts)
-            hashes, owner = words(part)
-            at = word_index.find(hashes)
-            count = np.bincount(owner, minlength=len(part))
-            out.append((
-                count + 1, np.bincount(owner, seen[at], len(part)).astype(np.int64) + int(seen[end]),
-                np.bincount(owner, base[at], len(part)) + base[end], score / math.log(10.0),
-                np.fromiter(map(len, part), np.int64, len(part)),
-            ))
-        columns = [np.concatenate(c) for c in zip(*out, strict=True)]
+    def work(rows: pa.Table, values: pa.Table) -> pa.Table:
+        keys, first = np.unique(values.column("key").to_numpy().view(np.uint64), return_index=True)
+        is_word = keys >= WORD
+        logs = values.column("value").to_numpy()[first[~is_word]]
+        counts = values.column("n").to_numpy()[first[is_word]]
+        strings, shared = KeyIndex(keys[~is_word]), KeyIndex(keys[is_word])
+        train = rows.column("train").to_numpy()
+        scores, hashes, owners, sizes, at = [], [], [], [], 0
+        for batch in rows.select(["text"]).to_batches(max_chunksize=256):
+            for part in text_chunks(batch.column(0).to_pylist()):
+                grams, starts = byte_strings(part, depth)
+                scores.append(np.add.reduceat(logs[strings.find(grams)], starts))
+                found, owner = words(part)
+                hashes.append(found)
+                owners.append((owner + at).astype(np.int32))
+                sizes.append(np.fromiter(map(len, part), np.int64, len(part)))
+                at += len(part)
+        owner = np.concatenate([*owners, np.arange(at, dtype=np.int32)])
+        types_, token = np.unique(np.concatenate([*hashes, np.full(at, WORD)]), return_inverse=True)
+        count = np.bincount(token, train[owner], len(types_)).astype(np.int64)
+        row = shared.find(types_)
+        count[row >= 0] = counts[row[row >= 0]]
+        base = np.log10((count + 1.0) / float(tokens + types + 1))
+        columns = [
+            np.bincount(owner, minlength=at), np.bincount(owner, (count > 0)[token], at).astype(np.int64),
+            np.bincount(owner, base[token], at), np.concatenate(scores) / math.log(10.0), np.concatenate(sizes),
+        ]
         names = ["id", "train", "n_tokens", "n_known", "base_score", "score", "n_bytes"]
-        return pa.table([texts.column("id"), texts.column("train"), *map(pa.array, columns)], names=names)
+        return pa.table([rows.column("id"), rows.column("train"), *map(pa.array, columns)], names=names)
 
     return work, schema
 
 
+def _bucketed(rows: DataFrame, buckets: int) -> DataFrame:
+    """``rows`` written as a table bucketed by ``block`` in the shared folder, so that later groups need no shuffle."""
+    spark = rows.sparkSession
+    name = f"blocks_{uuid.uuid4().hex}"
+    writer = rows.write.format("parquet").bucketBy(buckets, "block").option("compression", "zstd")
+    writer.option("path", f"{intermediates(spark)}/{name}").saveAsTable(name)
+    return spark.table(name)
+
+
 def score_texts(
     docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH
 ) -> DataFrame:
@@ -272,25 +285,29 @@ def score_texts(
     ``training`` says which rows are learnt from; all are scored. ``score`` is the log10 probability of
     the whole text, A-Z lower-cased, and its end; ``bits_per_byte`` is its code length over the bytes with
     the end. ``base_score`` is the add-one unigram log10 probability of its words and its end; words are
-    told apart by 64-bit hashes. A null text counts as empty, that is the end alone; without training
+    told apart by 63-bit hashes. A null text counts as empty, that is the end alone; without training
     rows every bit has probability one half and every token that of an empty vocabulary; repeated
-    rows count as often as they come; an empty table gives an empty one.
+    rows count as often as they come; an empty table gives an empty one. The table of blocks stays in
+    the session's catalogue and the shared folder, as the result is read from it.
     """
+    spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
-    blocks = cut_lineage(in_blocks(docs, id_col, text_col, training))
-    pairs = cut_lineage(block_keys(blocks, depth))
-    counts = cut_lineage(pairs.groupBy("kind", "key").agg(F.sum("n").alias("n")))
-    tokens, types = counts.filter(F.col("kind") == WORD).agg(
+    size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
+    buckets = min(100_000, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BLOCK)))
+    blocks = _bucketed(in_blocks(docs, id_col, text_col, training), buckets)
+    pairs = block_keys(blocks, depth)
+    counts = pairs.groupBy("key").agg(F.sum("n").alias("n"), (F.count("*") > 1).alias("shared"))
+    counts = cut_lineage(counts)
+    tokens, types = counts.filter("key < 0").agg(
         F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("n") > 0, 1))
     ).first()
-    grams = counts.filter(F.col("kind") == GRAM).select(F.col("key").alias("gram"), "n")
-    lengths = code_lengths(grams, depth).select(F.lit(GRAM).alias("kind"), F.col("gram").alias("key"), F.lit(0).alias("n"), "value")
-    base = counts.filter(F.col("kind") == WORD).select(
-        "kind", "key", "n", F.log10((F.col("n") + 1.0) / F.lit(float(tokens + types + 1))).alias("value")
+    lengths = code_lengths(counts.filter("key >= 0").select(F.col("key").alias("gram"), "n"), depth)
+    values = lengths.select(F.col("gram").alias("key"), "value", F.lit(None).cast("long").alias("n")).unionByName(
+        counts.filter("key < 0 AND shared").select("key", F.lit(None).cast("double").alias("value"), "n")
     )
-    values = pairs.select("block", "kind", "key").join(lengths.unionByName(base), ["kind", "key"])
-    work, schema = _scored(kind, depth, tokens)
-    scored = blocks.groupBy("block").cogroup(values.groupBy("block")).applyInArrow(work, schema)
+    found = pairs.select("block", "key").join(values, "key")
+    work, schema = _scored(kind, depth, tokens, types)
+    scored = blocks.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(work, schema)
     return scored.select(
         F.col("id").alias(id_col), "train", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"),
         "base_score", "score", (-F.col("score") * math.log2(10.0) / (F.col("n_bytes") + 1)).alias("bits_per_byte"),

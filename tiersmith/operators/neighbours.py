@@ -293,7 +293,7 @@ def point_neighbours(points: DataFrame, k: int, block_rows: int | None = None) -
     width = head["w"]
     total = points.count()
     most = max(64, min(MAX_BLOCK_ROWS, BLOCK_VALUES // width))
-    block_rows = block_rows or min(most, max(64, math.ceil(8 * math.sqrt(total))))
+    block_rows = block_rows or min(most, max(64, math.ceil(16 * math.sqrt(total))))
     layout = _layout(points, total, width)
     celled = _with_cells(points, layout, width)
     stats = (

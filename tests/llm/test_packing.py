@@ -32,6 +32,11 @@ def test_same_ids_as_the_tokenizer(tokenizer, words):
         assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
+def test_chunk_that_ends_with_the_batch(words, monkeypatch):
+    monkeypatch.setattr(packing, "CHUNK", 3)
+    assert [x.tolist() for x in words.texts(["abc", "", "abc"])] == [[39305], [], [39305]]
+
+
 def laid(rules, capacity):
     places = {}
     for length, first, end, sequence, each, offset in rules:

@@ -123,7 +123,8 @@ class WordTokens:
             if size >= CHUNK:
                 yield from self._chunk(part)
                 part, size = [], 0
-        yield from self._chunk(part)
+        if part:
+            yield from self._chunk(part)
 
     def _chunk(self, texts: list[str]) -> Iterator[np.ndarray]:
         odd = [bool(ODD.search(t)) or END_OF_TEXT in t for t in texts]

@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 from edge_tables import ROWS, docs
 from pyspark.sql import functions as F
 
@@ -59,3 +60,26 @@ def test_mask(spark):
             assert r.m == '[SECRET]" näïve ſ K 漢字 😀'
         else:
             assert r.m == r.text
+
+
+NAMES = ["set_max_num_of_attempts", "getElementsByClassName", "org.example.handlers.RequestHandler2", "handle_user_request_v2", "MAXIMUM_CONNECTION_COUNT"]
+
+
+def test_chances_do_not_depend_on_the_size_of_the_corpus():
+    counts = np.zeros((secrets.SIZE, secrets.SIZE))
+    for token in ["internationalization", "thoughtfullyordinary", "representatives"]:
+        np.add.at(counts.reshape(-1), secrets.pair_codes(token), 1)
+    for scale in (1e2, 1e4, 1e6):
+        assert np.allclose(secrets.pair_chances(counts * scale), secrets.pair_chances(counts))
+
+
+def test_identifiers_are_ordinary_at_every_size(spark):
+    assert all(map(secrets.ordinary, NAMES))
+    assert not any(map(secrets.ordinary, ["Xk9vQ2mZ7Lp4Rt8WnB3cYd6F", "k3j9x0q2m4z7v1b8n5c6", "aB3_dE5-gH7_jK9-mN1_pQ3"]))
+    words = ["internationalization", "configurationmanagement", "representativeattempts", "classificationelements"]
+    for n in (2, 2000):
+        plain_rows = [(i, f"{words[i % 4]} token={random.Random(i).getrandbits(160):040x}", "en", "s", 1) for i in range(4 * n)]
+        named = [(10_000 + i, f"{name} read_max_size_of_block Xk9vQ2mZ7Lp4Rt8WnB3cYd6F ok", "en", "s", 1) for i, name in enumerate(NAMES)]
+        rows = secrets.find_secrets(docs(spark, plain_rows + named)).filter("doc_id >= 10000").collect()
+        for r in rows:
+            assert [s.value for s in r.spans if s.kind == "markov"] == ["Xk9vQ2mZ7Lp4Rt8WnB3cYd6F"], (n, r)

@@ -1,9 +1,9 @@
 """Secret scans: fixed patterns, and character Markov models of random strings and ordinary identifiers.
 
 Both models are counts of character pairs. They are learnt from samples which the text labels
-itself: values that the patterns found are random strings, runs of letters alone and dotted
-names are ordinary. A long token is a secret if the log-likelihood ratio of the two models is
-high in all and per character.
+itself: values that the patterns found are random strings, identifiers made of words (letters
+alone, snake_case, camelCase, dotted, paths, with digits after words) are ordinary. A long token
+is a secret if the log-likelihood ratio of the two models is high in all and per character.
 """
 
 from __future__ import annotations
@@ -27,8 +27,12 @@ ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # the whole run, as nothing shorter counts
 LEAST = {"assign": 6, "access": 20}
-#: Tokens that the models judge.
-TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=.@-])[A-Za-z0-9+/_=-]{16,}(?![A-Za-z0-9+/_=.@-])")
+#: Long tokens, dotted ones whole. The models learn from those that :data:`WORDS` matches, and judge those without a dot.
+TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=.@-])(?=[A-Za-z0-9+/_=.-]{16})[A-Za-z0-9+/_=-]+(?:\.[A-Za-z0-9+/_=-]+)*(?![A-Za-z0-9+/_=.@-])")
+#: Words in one case or with a capital first, joined by case or marks; up to four digits may follow a word. Random strings
+#: of digits and letters in both cases hardly ever look like that.
+_HUMPS = r"(?:[A-Za-z]?[a-z]{2,}(?:[0-9]{0,4}[A-Z][a-z]+)*|[A-Z]{3,})[0-9]{0,4}"
+WORDS = re.compile(rf"[_/-]*{_HUMPS}(?:[_./-]+(?:{_HUMPS}|[A-Za-z]?[0-9]{{1,4}}|[A-Za-z]))*[_/-]*")
 #: Characters of encoded secrets.
 ALPHABET = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_="
 #: Printable ASCII, and one more for the start and for all else.
@@ -55,7 +59,7 @@ def loose_tokens(text: str, spans: list[tuple[str, int, int, str]]) -> list[tupl
     """Long tokens that touch no span."""
     found = []
     for m in TOKEN.finditer(text):
-        if not any(a < m.end() and m.start() < b for _, a, b, _ in spans):
+        if len(m[0]) >= 16 and not any(a < m.end() and m.start() < b for _, a, b, _ in spans):
             found.append((m.start(), m[0]))
     return found
 
@@ -67,11 +71,16 @@ def pair_codes(token: str) -> np.ndarray:
     return np.concatenate([[SIZE - 1], raw[:-1]]) * SIZE + raw if len(raw) else raw
 
 
-def ordinary(token: str) -> bool:
-    """Whether a token labels itself as no secret: letters alone, in one case or with one capital first."""
+def plain(token: str) -> bool:
+    """Letters alone, in one case or with one capital first."""
     return token.isalpha() and (token[1:].islower() or token.isupper())
 
 
+def ordinary(token: str) -> bool:
+    """Whether a token labels itself as an identifier made of words."""
+    return plain(token) or WORDS.fullmatch(token) is not None
+
+
 def _records(spans: list[tuple[str, int, int, str]]) -> list[dict]:
     return [dict(zip(("kind", "start", "end", "value"), s, strict=True)) for s in spans]
 
@@ -101,18 +110,40 @@ def scan(docs: DataFrame, id_col: str | None, text_col: str) -> DataFrame:
     return rows.mapInArrow(work, f"id {kind}, spans {SPANS}, tokens {TOKENS}")
 
 
-def pair_chances(counts: np.ndarray, weight: float = 10.0) -> np.ndarray:
-    """Chance of each next character: pair counts, backed off to single ones, these to a uniform choice."""
-    single = (counts.sum(axis=0) + 0.5) / (counts.sum() + 0.5 * SIZE)
-    return (counts + weight * single) / (counts.sum(axis=1, keepdims=True) + weight)
+def pair_chances(counts: np.ndarray, shares: tuple[float, float, float] = (0.9, 0.09, 0.01)) -> np.ndarray:
+    """Chance of each next character: fixed shares of pair counts, single counts and a uniform choice.
+
+    Only the proportions of the counts matter, so a table ten times as large gives the same chances.
+    """
+    single, rows = counts.sum(axis=0), counts.sum(axis=1, keepdims=True)
+    single = single / single.sum() if single.sum() else np.full(SIZE, 1.0 / SIZE)
+    pair = np.where(rows > 0, counts / np.maximum(rows, 1e-300), single)
+    return shares[0] * pair + shares[1] * single + shares[2] / SIZE
+
+
+def any_case(counts: np.ndarray, share: float = 0.1) -> np.ndarray:
+    """Counts and a share of them with the case of all letters swapped: a word is ordinary in capitals, too."""
+    swap = np.array([ord(c.swapcase()) - 32 if c.isalpha() else i for i, c in enumerate(map(chr, range(32, 32 + SIZE)))])
+    return counts + share * counts[np.ix_(swap, swap)]
+
+
+def log_ratios(ordinary_pairs: np.ndarray, random_pairs: np.ndarray) -> np.ndarray:
+    """Log-likelihood ratio of random against ordinary for each character pair.
+
+    Random strings are half what the samples show and half a free choice of ``ALPHABET``, as the
+    samples need not show every kind.
+    """
+    free = np.full(SIZE, 1e-6)
+    free[np.frombuffer(ALPHABET, np.uint8) - 32] = 1.0 / len(ALPHABET)
+    drawn = 0.5 * pair_chances(random_pairs) + 0.5 * free
+    return np.log(drawn / pair_chances(any_case(ordinary_pairs))).ravel()
 
 
 def fit_models(scanned: DataFrame) -> np.ndarray:
     """Log-likelihood ratio of random against ordinary for each character pair, from all labelled samples.
 
-    Counts are summed per pair inside the tasks; at most 2 x 96 x 96 sums come back. Random
-    strings are half what the samples show and half a free choice of ``ALPHABET``, as the samples
-    need not show every kind. Without samples of a kind its counts are zero.
+    Counts are summed per pair inside the tasks; at most 2 x 96 x 96 sums come back. Without
+    samples of a kind its counts are zero.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,10 +164,7 @@ def fit_models(scanned: DataFrame) -> np.ndarray:
     counted = scanned.select("spans", "tokens").mapInArrow(count, "label bigint, code bigint, n bigint")
     for label, code, n in counted.groupBy("label", "code").sum("n").collect():
         table[label, code // SIZE, code % SIZE] = n
-    free = np.full(SIZE, 1e-6)
-    free[np.frombuffer(ALPHABET, np.uint8) - 32] = 1.0 / len(ALPHABET)
-    drawn = 0.5 * pair_chances(table[1]) + 0.5 * free
-    return np.log(drawn / pair_chances(table[0])).ravel()
+    return log_ratios(table[0], table[1])
 
 
 @dataclass(frozen=True)
@@ -152,7 +180,7 @@ def random_spans(tokens: Iterable[tuple[int, str]], ratios: np.ndarray, bar: Bar
     """Spans of the tokens that the models take for random strings."""
     found = []
     for start, token in tokens:
-        if len(token) >= bar.least and not (ordinary(token) or token.isdigit()):
+        if len(token) >= bar.least and "." not in token and not (plain(token) or token.isdigit()):
             if float(ratios[pair_codes(token)].sum()) >= max(bar.total, bar.mean * len(token)):
                 found.append(("markov", start, start + len(token), token))
     return found

@@ -27,8 +27,9 @@ ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # the whole run, as nothing shorter counts
 LEAST = {"assign": 6, "access": 20}
-#: Long tokens, dotted ones whole. The models learn from those that :data:`WORDS` matches, and judge those without a dot.
-TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=.@-])(?=[A-Za-z0-9+/_=.-]{16})[A-Za-z0-9+/_=-]+(?:\.[A-Za-z0-9+/_=-]+)*(?![A-Za-z0-9+/_=.@-])")
+#: Long tokens, dotted ones whole. The models learn from those that :data:`WORDS` matches, and judge every part between dots.
+TOKEN = re.compile(r"[A-Za-z0-9+/_=.-]{16,}")
+PART = re.compile(r"[^.]+")
 #: Words in one case or with a capital first, joined by case or marks; up to four digits may follow a word. Random strings
 #: of digits and letters in both cases hardly ever look like that.
 _HUMPS = r"(?:[A-Za-z]?[a-z]{2,}(?:[0-9]{0,4}[A-Z][a-z]+)*|[A-Z]{3,})[0-9]{0,4}"
@@ -56,11 +57,17 @@ def base_spans(text: str) -> list[tuple[str, int, int, str]]:
 
 
 def loose_tokens(text: str, spans: list[tuple[str, int, int, str]]) -> list[tuple[int, str]]:
-    """Long tokens that touch no span."""
+    """Long tokens that touch no span, without dots at their ends; of those that do, the long parts that touch none."""
     found = []
     for m in TOKEN.finditer(text):
-        if len(m[0]) >= 16 and not any(a < m.end() and m.start() < b for _, a, b, _ in spans):
-            found.append((m.start(), m[0]))
+        near = [(a, b) for _, a, b, _ in spans if a < m.end() and m.start() < b]
+        if near:
+            pieces = [(m.start() + p.start(), p[0]) for p in PART.finditer(m[0])]
+        else:
+            pieces = [(m.start() + len(m[0]) - len(m[0].lstrip(".")), m[0].strip("."))]
+        for start, token in pieces:
+            if len(token) >= 16 and not any(a < start + len(token) and start < b for a, b in near):
+                found.append((start, token))
     return found
 
 
@@ -71,14 +78,9 @@ def pair_codes(token: str) -> np.ndarray:
     return np.concatenate([[SIZE - 1], raw[:-1]]) * SIZE + raw if len(raw) else raw
 
 
-def plain(token: str) -> bool:
-    """Letters alone, in one case or with one capital first."""
-    return token.isalpha() and (token[1:].islower() or token.isupper())
-
-
 def ordinary(token: str) -> bool:
-    """Whether a token labels itself as an identifier made of words."""
-    return plain(token) or WORDS.fullmatch(token) is not None
+    """Whether a token labels itself as an identifier made of words: a sample, not a verdict."""
+    return WORDS.fullmatch(token) is not None
 
 
 def _records(spans: list[tuple[str, int, int, str]]) -> list[dict]:
@@ -177,12 +179,13 @@ class Bar:
 
 
 def random_spans(tokens: Iterable[tuple[int, str]], ratios: np.ndarray, bar: Bar) -> list[tuple[str, int, int, str]]:
-    """Spans of the tokens that the models take for random strings."""
+    """Spans of the tokens, or of their parts between dots, that the models take for random strings."""
     found = []
     for start, token in tokens:
-        if len(token) >= bar.least and "." not in token and not (plain(token) or token.isdigit()):
-            if float(ratios[pair_codes(token)].sum()) >= max(bar.total, bar.mean * len(token)):
-                found.append(("markov", start, start + len(token), token))
+        for m in PART.finditer(token):
+            if len(m[0]) >= bar.least and not m[0].isdigit():
+                if float(ratios[pair_codes(m[0])].sum()) >= max(bar.total, bar.mean * len(m[0])):
+                    found.append(("markov", start + m.start(), start + m.end(), m[0]))
     return found
 
 

@@ -120,3 +120,13 @@ def test_probabilities_of_the_next_byte_sum_to_one():
             node = 2 * node + bit
         total += p
     assert total == pytest.approx(1.0)
+
+
+def test_the_registered_depth_sees_six_bytes_back(spark):
+    """What follows the five equal bytes hangs on the sixth."""
+    rows = [(i, "xabcdeP yabcdeQ " * 20 if i else "yabcdeQ xabcdeP ", "en", "s", 1) for i in range(6)]
+    frame = docs(spark, rows, score=1, block="x", train=2)
+    train = F.col("doc_id") != 0
+    scores = {d: lm.score_texts(frame, train, depth=d).filter("doc_id = 0").first().score for d in (4, 6)}
+    registered = lm.score_texts(frame, train).filter("doc_id = 0").first().score
+    assert registered == pytest.approx(scores[6]) and scores[6] > scores[4] + 0.5

@@ -31,7 +31,8 @@ from tiersmith.llm.batches import text_batches
 from tiersmith.llm.lookup import KeyIndex, span_hashes
 from tiersmith.session import cut_lineage, intermediates
 
-DEPTH = 4
+#: One string of ``depth + 1`` bytes is one number beside the bit of words, so six is the most.
+DEPTH = 6
 #: Bytes of text in a block, and bytes looked at together within one.
 BLOCK, CHUNK = 32 << 20, 1 << 19
 #: Stands before and after each text; never part of UTF-8.

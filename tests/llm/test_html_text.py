@@ -55,3 +55,24 @@ def test_articles_of_the_driver_pages(spark):
         inner = re.sub(r"</?(?:b|a|i|em)\b[^>]*>?", "", body.replace("<br>", " "))
         blocks = [" ".join(unescape(x).split()) for x in re.split(r"</?(?:p|h1)>", inner)]
         assert r.text == "\n".join(b for b in blocks if b) and r.n_chars == len(r.text)
+
+
+INNER = "<div><p>First, a long, winding paragraph, with commas, more commas, and words.</p><p>Second, third, fourth, fifth, sixth.</p></div>"
+BESIDE = [
+    ("<ul><li>one item<li>two items</ul>", "one item\ntwo items"), ("<ol><li>step</ol>", "step"),
+    ("<table><tr><th>Head<td>7</table>", "Head\n7"), ("<dl><dt>term<dd>meaning</dl>", "term\nmeaning"),
+    ("<pre>x = 1</pre>", "x = 1"), ("<blockquote>quoted</blockquote>", "quoted"), ("<p>Short one</p>", "Short one"),
+    ("<div><ul><li>an item of a list in a box that holds no paragraph at all<li>and one more, to make it long</ul></div>",
+     "an item of a list in a box that holds no paragraph at all\nand one more, to make it long"),
+    ("<ul><li><a href=a>Home page</a><li><a href=b>About us</a></ul>", ""), ("<p><a href=c>Read more</a></p>", ""),
+    ("<table><tr><td><a href=d>Previous</a><td><a href=e>Next</a></table>", ""), ("<ul class=menu><li>menu</ul>", ""),
+]
+
+
+@pytest.mark.parametrize(("part", "text"), BESIDE)
+def test_parts_beside_the_container(part, text):
+    own = html_text.main_text(f"<html><body>{INNER}</body></html>")
+    assert own.count("\n") == 1
+    for html in (f"<html><body><div>{INNER}{part}</div></body></html>", f"<html><body>{INNER}{part}</body></html>"):
+        assert html_text.main_text(html) == (f"{own}\n{text}" if text else own)
+    assert html_text.main_text(f"<body><div>{part}{INNER}</div></body>") == (f"{text}\n{own}" if text else own)

@@ -3,7 +3,8 @@
 Each paragraph passes points for its length and its commas to the elements around it, fewer the
 farther up; an element's points are discounted by the share of its text that stands in links. The
 element with the most points is the article's container. It and those of its siblings that look
-like part of the article are kept; menus, adverts and the like are left out wherever they stand.
+like part of the article, by their text and the share of links in it, are kept; menus, adverts and
+the like are left out wherever they stand.
 """
 
 from __future__ import annotations
@@ -55,16 +56,18 @@ PARAGRAPHS = frozenset("p pre td blockquote dd figcaption address".split())
 #: Rows and lists are passed over: they are no containers of an article.
 ROWS = frozenset("table tbody thead tfoot tr ul ol menu dir dl".split())
 UNSCORED = HEADINGS | frozenset("li dt th caption legend summary".split())
+#: Parts of an article: beside its container they stay whatever their length, if few of their characters are links.
+PIECES = frozenset("p pre blockquote address figure ul ol dl dir table details".split())
 
 
 class Element:
-    """An element of the page: what it is, what is around it, its points and characters."""
+    """An element of the page: what it is, what is around it, its points and characters, and the points of all blocks inside."""
 
-    __slots__ = ("chars", "good", "kept", "linked", "out", "parent", "points", "tag")
+    __slots__ = ("chars", "good", "inside", "kept", "linked", "out", "parent", "points", "tag")
 
     def __init__(self, tag: str, parent: Element | None, out: bool, good: bool) -> None:
         self.tag, self.parent, self.out, self.good = tag, parent, out, good
-        self.points, self.chars, self.linked, self.kept = 0.0, 0, 0, False
+        self.points, self.inside, self.chars, self.linked, self.kept = 0.0, 0.0, 0, 0, False
 
     def score(self) -> float:
         bonus = 25.0 * (self.tag in ("article", "main")) + 15.0 * self.good
@@ -185,12 +188,13 @@ def read_page(html: str) -> tuple[list[Element], list[tuple[Element, str]]]:
     return elements, blocks
 
 
-def pass_points(blocks: list[tuple[Element, str]]) -> None:
+def pass_points(elements: list[Element], blocks: list[tuple[Element, str]]) -> None:
     """One point for a paragraph, one per comma, one per 100 characters up to three, shared out upwards."""
     for holder, text in blocks:
+        points = 1.0 + sum(map(text.count, ",،、，")) + min(len(text) / 100.0, 3.0)
+        holder.inside += points
         if holder.tag in UNSCORED:
             continue
-        points = 1.0 + sum(map(text.count, ",،、，")) + min(len(text) / 100.0, 3.0)
         at = holder.parent if holder.tag in PARAGRAPHS else holder
         level = 0
         while at is not None and at.tag not in ("html", ""):
@@ -198,26 +202,23 @@ def pass_points(blocks: list[tuple[Element, str]]) -> None:
                 at.points += points / (1.0 if level == 0 else 2.0 if level == 1 else 3.0 * level)
                 level += 1
             at = at.parent
+    for e in reversed(elements[1:]):  # elements stand after those around them
+        e.parent.inside += e.inside
 
 
 def main_text(html: str) -> str:
     """Text blocks of the article, joined by line feeds; empty if the page has none."""
     elements, blocks = read_page(html)
-    pass_points(blocks)
+    pass_points(elements, blocks)
     scored = [e for e in elements if e.points > 0]
     if scored:
         best = max(scored, key=Element.score)
         best.kept = True
-        texts: dict[int, list[str]] = {}
-        for holder, text in blocks:
-            texts.setdefault(id(holder), []).append(text)
         for e in elements:
             if e is not best and e.parent is best.parent and e.parent is not None and e.parent.tag != "":
-                own = " ".join(texts.get(id(e), []))
                 density = e.linked / max(e.chars, 1)
-                sentence = len(own) > 80 and density < 0.25 or own[-1:] in (".", "!", "?") and density == 0
-                like = e.points > 0 and density < 0.25 and (e.points >= 0.2 * best.points or e.chars > 80)
-                e.kept = like or e.tag == "p" and sentence or e.tag in HEADINGS and density == 0
+                like = e.tag in PIECES or e.inside >= 0.2 * best.points or e.chars > 80
+                e.kept = density == 0 if e.tag in HEADINGS else density < 0.25 and like
     else:
         best = next((e for e in elements if e.tag in ("article", "main")), elements[0])
         best.kept = True

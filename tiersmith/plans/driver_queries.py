@@ -590,7 +590,8 @@ def smotenc(spark, sf):
     df = _vectors(spark, sf)
     out = sampling.smotenc(df, "key", "label", "features", _grow(ranking.class_counts(df, "label")), 3)
     v = vector_to_array("features")
-    return out.select("key", "label", r6(v[0]).alias("x0"), r6(v[1]).alias("x1"), v[64].alias("flag0"))
+    slots = [r6(v[i]).alias(f"x{i}") for i in range(64)]
+    return out.select("key", "label", *slots, v[64].alias("flag0"), v[65].alias("flag1"))
 
 
 def smotenc_counts(spark, sf):
@@ -660,7 +661,7 @@ def calibrated_labels(spark, sf):
 def weight_search(spark, sf):
     """CS-2."""
     df = cut_lineage(_centroid_probabilities(spark, sf))
-    weights, kappa = calibrate.search_weights(df, "probability", "label", 5, per_class=5, generations=10)
+    weights, kappa = calibrate.search_weights(df, "probability", "label", 5)
     return calibrate.apply_weights(df, "probability", weights).select(
         "key", "label", "prediction", F.lit(round(kappa, 6)).alias("kappa")
     )
@@ -719,28 +720,61 @@ def out_of_fold(spark, sf):
     return out.select("key", "label", "fold", _big("prediction").alias("prediction"))
 
 
+def _described(spark, sf) -> DataFrame:
+    """The training table with the text of the document of the same id."""
+    documents = table(spark, sf, "documents").select(F.col("doc_id").alias("key"), "text")
+    return cut_lineage(_tiers(spark, sf).join(documents, "key", "left"))
+
+
+#: The published models by name; also what selects features for them.
+CLASSIFIERS = {
+    "DecisionTree": models.decision_tree,
+    "RandomForest": models.random_forest,
+    "XGBoost": models.BoostedTrees,
+}
+
+
+def _text_stages(terms: int, components: int = 20, selector: str | None = None, threshold: str = "median") -> list:
+    """TF-IDF terms of the text beside the PLS scores, resampled; ``selector`` names the model that selects slots."""
+    under, pls, _, prune, grow, tomek = _stages(components)
+    text_block = encoders.ListTextEncoder(textCol="text", maxTerms=terms, stopWords=STOP_WORDS)
+    out = [text_block, under, pls, encoders.BlockAssembler(inputCols=["encoded", "pls"]), prune, grow, tomek]
+    return [*out, models.ImportanceSelector(CLASSIFIERS[selector](), threshold=threshold)] if selector else out
+
+
 def feature_grid(spark, sf):
-    """SV-1, AG-4, AG-5."""
-    def stages_(terms, components):
-        return _stages(components)[1:4]
+    """SV-1, AG-4, AG-5: the published grid of text terms and PLS components, three models and folds."""
+    return search.feature_size_grid(_described(spark, sf), "label", "key", _text_stages, CLASSIFIERS)
 
-    classifiers = {
-        "DecisionTree": lambda: models.decision_tree(depth=4),
-        "RandomForest": lambda: models.random_forest(trees=10, depth=4),
-    }
-    return search.feature_size_grid(_tiers(spark, sf), "label", "key", stages_, classifiers, [15], [4, 8], k=2)
 
+def _share_forest(share: float, **params):
+    return models.random_forest(featureSubsetStrategy=str(share), **params)
 
-def nested_search(spark, sf):
-    """SV-2..4, ST-1: nested search flattened to one row per model and fold."""
-    def stages_(components=8):
-        return _stages(components)[1:4]
 
-    space = {"depth": (3, 6), "features__components": [4, 8]}
-    log = search.nested_search(
-        _tiers(spark, sf), "label", "key", stages_, {"DecisionTree": (models.decision_tree, space, 2)}, 2, 2
-    )
-    return stats.flatten_log(log)
+def _space(model: str, terms: int, **own) -> dict:
+    chosen = {"features__terms": [terms], "features__selector": [model], "features__threshold": ["median", "mean"]}
+    return own | chosen
+
+
+#: The published searches: model, its space and its trials. The least rows of a split and the L2 term have no counterpart.
+NESTED = {
+    "DecisionTree": (models.decision_tree, _space("DecisionTree", 50, depth=(5, 30), min_rows=(1, 10)), 5),
+    "RandomForest": (
+        _share_forest,
+        _space("RandomForest", 30, trees=(100, 400), depth=(5, 30), min_rows=(1, 8), share=(0.1, 0.6)),
+        40,
+    ),
+    "XGBoost": (
+        models.BoostedTrees,
+        _space("XGBoost", 15, trees=(100, 400), depth=(3, 9), rate=(0.05, 0.19), min_rows=(1, 8), subsample=(0.6, 1.0)),
+        50,
+    ),
+}
+
+
+def nested_search(spark, sf):
+    """SV-2..4, ST-1: nested search over the published spaces, flattened to one row per model and fold."""
+    return stats.flatten_log(search.nested_search(_described(spark, sf), "label", "key", _text_stages, NESTED))
 
 
 def _forest(spark, sf):
@@ -752,8 +786,8 @@ def shapley(spark, sf):
     """EX-1: mean absolute attribution per class and slot over a stratified sample."""
     df, model = _forest(spark, sf)
     sample = explain.explain_sample(df, "label", "key", 2000)
-    background = explain.background_matrix(df, "features", "key", 50)
-    return explain.global_importance(explain.shapley(sample, model, background, "key", permutations=1))
+    background = explain.background_matrix(df, "features", "key")
+    return explain.global_importance(explain.shapley(sample, model, background, "key"))
 
 
 def surrogates(spark, sf):
@@ -761,7 +795,7 @@ def surrogates(spark, sf):
     df, model = _forest(spark, sf)
     background = explain.background_matrix(df, "features", "key", 200)
     scored = model.transform(df).select("key", "features", "prediction")
-    return explain.surrogates(scored, model, background, "key", "prediction", samples=500)
+    return explain.surrogates(scored, model, background, "key", "prediction")
 
 
 def experiment_log(spark, sf):

@@ -62,3 +62,13 @@ def test_published_searches(spark, monkeypatch):
     for make, space, _ in got["models"].values():
         front, params = search._split_setting(search.draw(space, 1, 1)[0])
         assert make(**params) is not None and len(got["stages"](**front)) == 8
+
+
+def test_too_many_levels_are_not_dropped(spark, tmp_path):
+    rows = [(i, "O", f"level {i:03}") for i in range(101)]
+    for n in (100, 101):
+        frame = spark.createDataFrame(rows[:n], "o_orderkey long, o_orderstatus string, o_orderpriority string")
+        frame.write.parquet(f"{tmp_path}/{n}/orders.parquet")
+    assert len(q.mode_impute_onehot(spark, f"{tmp_path}/100").columns) == 101
+    with pytest.raises(ValueError, match="levels"):
+        q.mode_impute_onehot(spark, f"{tmp_path}/101")

@@ -341,13 +341,19 @@ def inverse_scale(spark, sf):
     return df.select("l_orderkey", "l_linenumber", *back, *[r6(x).alias(f"{c}_scaled") for c, x in scaled.items()])
 
 
+MOST_LEVELS = 100  # flag columns
+
+
 def mode_impute_onehot(spark, sf):
     """FT-7, AG-7."""
     hidden = F.when(F.col("o_orderstatus") != "P", F.col("o_orderpriority"))
     df = table(spark, sf, "orders").withColumn("priority", hidden)
     fill = aggregates.most_frequent(df, "priority")
-    levels = df.select("priority").filter("priority IS NOT NULL").distinct().orderBy("priority").limit(100).collect()
-    flags = encoders.one_hot_flags("priority", fill, [r["priority"] for r in levels])
+    levels = df.select("priority").filter("priority IS NOT NULL").distinct().orderBy("priority")
+    found = levels.limit(MOST_LEVELS + 1).collect()
+    if len(found) > MOST_LEVELS:
+        raise ValueError(f"more than {MOST_LEVELS} levels, too many for a flag column each")
+    flags = encoders.one_hot_flags("priority", fill, [r["priority"] for r in found])
     return df.select("o_orderkey", *[c.alias(f"level_{i}") for i, c in enumerate(flags.values())])
 
 

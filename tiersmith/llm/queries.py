@@ -2,16 +2,35 @@
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tiersmith.llm import ftrl, html_text, lm, mixing, near_vectors, packing, quality, secrets, simhash, topk, toxicity
+from tiersmith.llm import (
+    byte_pairs,
+    ftrl,
+    html_text,
+    lm,
+    mixing,
+    near_vectors,
+    packing,
+    quality,
+    resample,
+    secrets,
+    simhash,
+    spelling,
+    topk,
+    toxicity,
+)
 from tiersmith.llm.batches import text_batches
 
 # Parameters of the mixture: target weights of sources, languages and topics, and what marks a topic.
 SOURCES = {f"src{i}": 1.0 for i in range(20)}
 LANGUAGES = {"en": 0.55, "de": 0.17, "fr": 0.17, "es": 0.11}
 TOPICS = {"contact": 0.025, "licence": 0.03, "table": 0.03, "prose": 0.915}
+#: One in so many runs of letters loses a character before words are counted.
+MISPRINT = 199
 TOPIC_RULES = [("contact", "@"), ("licence", "icense"), ("table", " | ")]
 
 
@@ -94,6 +113,42 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resample.importance_resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def misprinted_words(docs: DataFrame) -> DataFrame:
+    """Every run of letters in lower case; about one in ``MISPRINT`` of a document's runs lacks a character.
+
+    A null text has no runs; a null id counts as an empty text.
+    """
+    runs = docs.select(
+        F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"),
+        F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z\u00c0-\u00ff]+)"))).alias("run"),
+    )
+    run = F.translate("run", ascii_uppercase, ascii_lowercase)
+    runs = runs.select(run.alias("run"), F.crc32(F.concat("id", F.lit(":"), run)).alias("h"))
+    at = (F.col("h") % F.length("run")).cast("int")
+    short = F.concat(F.substring(F.col("run"), F.lit(1), at), F.substring(F.col("run"), at + 2, F.length("run")))
+    return runs.select(F.when(F.col("h") % MISPRINT == 0, short).otherwise(F.col("run")).alias("word"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.count_words(misprinted_words(_table(spark, sf_dir, "documents")))
+    return spelling.spelling_variants(words)
+
+
+def op13_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = byte_pairs.decode_texts(byte_pairs.encode_texts(_table(spark, sf_dir, "documents")))
+    return coded.select(
+        "doc_id",
+        (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("token_ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_context_tree_scores": op2_context_tree_scores,
@@ -105,4 +160,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_simhash": op9_simhash,
     "op10_html_text": op10_html_text,
+    "op11_importance_resampling": op11_importance_resampling,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_byte_pairs": op13_byte_pairs,
 }

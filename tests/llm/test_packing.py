@@ -90,3 +90,14 @@ def test_pieces(spark, tokenizer):
     for _, rows in found.sort_values("offset").groupby("sequence_id"):
         assert rows.offset.tolist() == (rows.length.cumsum() - rows.length).tolist() and rows.length.sum() <= 64
     assert packing.pack_documents(docs(spark, [])).count() == 0
+
+
+def test_long_patterned_words_are_told_apart():
+    """Words whose running sums agree by construction: the Thue-Morse sequence and its complement."""
+    tiktoken = pytest.importorskip("tiktoken")
+    P = pytest.importorskip("public_tokenizers")
+    bits = [i.bit_count() & 1 for i in range(2048)]
+    words = ["".join("ab"[b ^ flip] for b in bits) for flip in (0, 1)]
+    memory = packing.WordTokens(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=memory.encoding._mergeable_ranks, special_tokens={})
+    assert [ids.tolist() for ids in memory.texts(words)] == [own.encode_ordinary(w) for w in words]

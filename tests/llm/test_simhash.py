@@ -87,3 +87,13 @@ def test_one_document_of_each_group_stays(spark):
     kept = simhash.keep_one_per_group(docs(spark, component_id=1)).collect()
     assert sorted((r.doc_id for r in kept if r.doc_id), key=int) == [1, 3, 6, 7]
     assert sum(r.doc_id is None for r in kept) == 2
+
+
+def test_texts_that_share_an_id_are_judged_apart(spark):
+    """Three texts, two under one id: all stay; a copy of one under that id takes none of the others along."""
+    a, b, c = ("alpha beta gamma delta epsilon", "one two three four five six", "rot grün blau gelb weiss schwarz")
+    kept = simhash.keep_one_per_group(docs(spark, rows=[(1, a, *ROWS[0][2:]), (1, b, *ROWS[0][2:]), (2, c, *ROWS[0][2:])]))
+    assert sorted(r.text for r in kept.collect()) == sorted([a, b, c])
+    rows = [(0, a), (5, a), (5, b), (5, b), (7, c)]
+    kept = simhash.keep_one_per_group(docs(spark, rows=[(*r, *ROWS[0][2:]) for r in rows]))
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == sorted([(0, a), (5, b), (7, c)])

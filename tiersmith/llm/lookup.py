@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes of a span beyond which its hash is that of its bytes alone, as long patterned spans can share a running sum.
+LONG_SPAN = 256
 
 
 class KeyIndex:
@@ -70,7 +73,10 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data + np.uint64(1)) * powers[:-1], dtype=np.uint64)])
     ones[1:] = np.uint64(pow(int(SPREAD), -1, 1 << 64))
     undo = np.cumprod(ones, dtype=np.uint64)
-    return mix((sums[ends] - sums[starts]) * undo[starts] + (ends - starts).astype(np.uint64))
+    found = mix((sums[ends] - sums[starts]) * undo[starts] + (ends - starts).astype(np.uint64))
+    for i in np.flatnonzero(ends - starts > LONG_SPAN):
+        found[i] = xxhash.xxh64_intdigest(data[starts[i] : ends[i]].tobytes())
+    return found
 
 
 def mix(h: np.ndarray) -> np.ndarray:

@@ -30,8 +30,10 @@ from tiersmith.session import cut_lineage
 #: Texts without other characters are split here; the tokenizer itself takes the rest.
 ODD = re.compile("[^\t-\r\x20-~À-ÖØ-öø-ɏ]")
 END_OF_TEXT = "<|endoftext|>"
-#: Distinct words that a task remembers the tokens of, and bytes of text that it splits at once.
-MEMORY, CHUNK = 400_000, 1 << 19
+#: Bytes that a worker gives to the tokens of distinct words before it starts afresh, and bytes of text that it splits at once.
+MEMORY, CHUNK = 12 << 20, 1 << 17
+#: Bytes of a word's offset, length and slots in the index.
+WORD_COST = 64
 BORDER, LETTER, DIGIT, SPACE, OTHER = range(5)
 
 
@@ -134,7 +136,7 @@ class WordTokens:
         hashes = span_hashes(data, starts, ends)
         rows = self.index.find(hashes)
         if (rows < 0).any():
-            if self.index.size > MEMORY:
+            if self.index.size * WORD_COST + 4 * len(self.pool) > MEMORY:
                 self._forget()
                 rows[:] = -1
             new, at = np.unique(hashes[rows < 0], return_index=True)
@@ -292,7 +294,8 @@ def place_pieces(pieces: DataFrame, capacity: int) -> DataFrame:
     earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = F.sum("n").over(earlier) - F.col("n")
     offsets = sizes.select("length", "part", before.alias("before"))
-    ranked = pieces.join(offsets, ["length", "part"]).withColumn("rank", F.col("before") + F.col("turn"))
+    # A few lengths of a few parts per task: a hash table of them spares the pieces, ids and all, a sort.
+    ranked = pieces.join(offsets.hint("shuffle_hash"), ["length", "part"]).withColumn("rank", F.col("before") + F.col("turn"))
     inside = (F.col("rank") >= F.col("first_rank")) & (F.col("rank") < F.col("end_rank"))
     placed = ranked.join(rules, "length").filter(inside)
     step = F.col("rank") - F.col("first_rank")

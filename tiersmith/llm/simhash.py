@@ -246,14 +246,22 @@ def simhash_components(
     )
 
 
+#: Column that names an id and a text while groups are formed.
+OWN_KEY = "_id_and_text"
+
+
 def keep_one_per_group(docs: DataFrame, **settings) -> DataFrame:
     """``docs`` without those that are not the first of their component; columns as they are.
 
-    Rows with a null id are kept, as no group can be named by them; repeated rows of one id count
-    as one document, of which one row stays.
+    A document is an id and a text: rows that share an id but not the text are judged each for
+    itself, and of rows that share both one stays. Rows with a null id are kept, as no group can be
+    named by them.
     """
-    id_col = settings.get("id_col", "doc_id")
-    found = simhash_components(docs, **settings)
-    dropped = found.filter(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
-    kept = docs.filter(F.col(id_col).isNotNull()).join(dropped, id_col, "left_anti").dropDuplicates([id_col])
+    id_col, text_col = settings.pop("id_col", "doc_id"), settings.pop("text_col", "text")
+    digest = F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    key = F.when(F.col(id_col).isNotNull(), F.struct(F.col(id_col).alias("id"), digest.alias("digest")))
+    rows = docs.withColumn(OWN_KEY, key)
+    found = simhash_components(rows, OWN_KEY, text_col, **settings)
+    dropped = found.filter(F.col(OWN_KEY) != F.col("component_id")).select(OWN_KEY).distinct()
+    kept = rows.filter(F.col(OWN_KEY).isNotNull()).join(dropped, OWN_KEY, "left_anti").dropDuplicates([OWN_KEY])
     return kept.select(*docs.columns).unionByName(docs.filter(F.col(id_col).isNull()))

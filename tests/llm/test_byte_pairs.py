@@ -45,12 +45,17 @@ def test_bounds_change_nothing(own, plain, monkeypatch, name, value):
 
 def test_recursion_equals_the_heap(own):
     words = [t.encode() for t in texts() if 2 <= len(t.encode()) <= byte_pairs.LONG]
-    found = [None] * len(words)
-    own._contract(words, list(range(len(words))), found)
-    for word, ids in zip(words, found, strict=True):
+    lengths, ids = own.contract(words)
+    for word, ids in zip(words, np.split(ids, np.cumsum(lengths)[:-1]), strict=True):
         assert byte_pairs.contract_long(own.single[np.frombuffer(word, np.uint8)].tolist(), own.merges) == ids.tolist()
 
 
+def test_both_ways_to_split_agree(own):
+    some = [f"a{chr(c)}a1{chr(c)}{chr(c)} !{chr(c)}  {chr(c)}" for c in range(byte_pairs.PLAIN)]
+    some += [t for t in texts() if not byte_pairs.BEYOND.search(t)]
+    assert [own.find_plain(t) for t in some] == [own.find_any(t) for t in some]
+
+
 def test_decode_of_any_ids(own):
     r = np.random.default_rng(1)
     pieces = {rank: piece for piece, rank in own.ranks.items()}

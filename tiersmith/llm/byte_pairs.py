@@ -12,6 +12,8 @@ from __future__ import annotations
 import base64
 import functools
 import heapq
+import itertools
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,37 +25,40 @@ from tiersmith.llm.batches import text_batches
 from tiersmith.llm.lookup import ranges
 
 #: Bytes of words, ids and their bookkeeping that a worker remembers before it starts afresh.
-MEMORY = 32 << 20
+MEMORY = 48 << 20
 WORD_COST = 160
 #: Token rows that one query contracts or decodes, and characters of text that are split at once.
 ROWS, CHUNK = 1 << 18, 1 << 21
 #: The recursion keeps every step of a word, so longer words are contracted by ``contract_long``.
 LONG = 128
+#: Texts without characters from here on are split by lists of characters, which takes about half the time.
+PLAIN = 0x250
+BEYOND = re.compile(f"[{chr(PLAIN)}-{chr(0x10FFFF)}]")
 #: Pieces are stored as text of one character per byte: the byte's value above this.
 SHIFT = 256
 
 #: ``code`` holds rank, place and next place of a row's pair with its neighbour, null without a merge.
 CONTRACT = """
 WITH RECURSIVE steps(word, pos, id, next_pos, next_id, code, step) AS (
-  SELECT word, pos, id, next_pos, next_id, (merged::BIGINT << 16) | (pos << 8) | next_pos, 0
+  SELECT word, pos::UTINYINT, id, next_pos::UTINYINT, next_id, (merged::BIGINT << 16) | (pos << 8) | next_pos, 0::UTINYINT
   FROM start_rows LEFT JOIN merges ON lft = id AND rgt = next_id
   UNION ALL
   SELECT word, pos, id, next_pos, next_id,
-    CASE WHEN fresh THEN (merged::BIGINT << 16) | (pos << 8) | next_pos ELSE code END, step + 1
+    CASE WHEN fresh THEN (merged::BIGINT << 16) | (pos::BIGINT << 8) | next_pos ELSE code END, (step + 1)::UTINYINT
   FROM (
     SELECT s.word, s.pos, s.code, s.step, s.pos = b.pos OR s.next_pos = b.pos AS fresh,
       CASE WHEN s.pos = b.pos THEN b.id ELSE s.id END AS id,
       CASE WHEN s.pos = b.pos THEN b.next_pos ELSE s.next_pos END AS next_pos,
       CASE WHEN s.pos = b.pos THEN b.next_id WHEN s.next_pos = b.pos THEN b.id ELSE s.next_id END AS next_id
     FROM steps s JOIN (
-      SELECT w.word, (best >> 8) & 255 AS pos, (best >> 16)::INTEGER AS id, best & 255 AS gone, r.next_pos, r.next_id
+      SELECT w.word, ((best >> 8) & 255)::UTINYINT AS pos, (best >> 16)::INTEGER AS id, (best & 255)::UTINYINT AS gone, r.next_pos, r.next_id
       FROM (SELECT word, min(code) AS best FROM steps WHERE code IS NOT NULL GROUP BY word) w
-      JOIN steps r ON r.word = w.word AND r.pos = w.best & 255
+      JOIN steps r ON r.word = w.word AND r.pos = (w.best & 255)::UTINYINT
     ) b ON b.word = s.word WHERE s.pos <> b.gone
   ) LEFT JOIN merges ON fresh AND lft = id AND rgt = next_id
 )
-SELECT word, id FROM (SELECT word, pos, id, step, max(step) OVER (PARTITION BY word) AS last_step FROM steps)
-WHERE step = last_step ORDER BY word, pos
+SELECT word, id FROM steps JOIN (SELECT word, max(step) AS step FROM steps GROUP BY word) USING (word, step)
+ORDER BY word, pos
 """
 DECODE = """
 SELECT part, string_agg(piece, '' ORDER BY pos) AS text
@@ -70,7 +75,8 @@ class BytePairs:
 
         with open(ranks, "rb") as lines:
             self.ranks = {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, lines)}
-        self.find = regex.compile(pattern).findall
+        self.find_any = regex.compile(pattern).findall
+        self.find_plain = re.compile(spelled_out(pattern)).findall
         self.single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         cuts = [
             (self.ranks[piece[:i]], self.ranks[piece[i:]], rank)
@@ -85,6 +91,10 @@ class BytePairs:
         self._table("pieces", {"id": np.array(list(self.ranks.values()), np.int32), "piece": shown})
         self._forget()
 
+    def find(self, text: str) -> list[str]:
+        """The words of a text."""
+        return (self.find_any if BEYOND.search(text) else self.find_plain)(text)
+
     def _table(self, name: str, columns: dict) -> None:
         self.con.register("given", pa.table(columns))
         self.con.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
@@ -101,50 +111,51 @@ class BytePairs:
         self.ids, self.starts, self.lengths = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.size = 0
 
+    def _add(self, words: list[str], lengths: np.ndarray, ids: np.ndarray) -> None:
+        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words)), strict=True))
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
+        self.lengths = np.concatenate([self.lengths, lengths])
+        self.ids = np.concatenate([self.ids, ids.astype(np.int32)])
+        self.size += len(words) * WORD_COST + 4 * (sum(map(len, words)) + len(ids))
+
     def _learn(self, words: list[str]) -> None:
         """Remember the ids of distinct new words."""
-        raw = [w.encode() for w in words]
-        found: list[np.ndarray | None] = [None] * len(raw)
-        open_: list[int] = []
+        whole: list[str] = []
+        open_: list[str] = []
         size = 0
-        for i, word in enumerate(raw):
-            if word in self.ranks:  # a word that is a piece is not cut at all
-                found[i] = np.array([self.ranks[word]], np.int32)
-            elif len(word) > LONG:
-                found[i] = np.array(contract_long(self.single[np.frombuffer(word, np.uint8)].tolist(), self.merges), np.int32)
+        for word in words:
+            raw = word.encode()
+            if raw in self.ranks:  # a word that is a piece is not cut at all
+                whole.append(word)
+            elif len(raw) > LONG:
+                ids = np.array(contract_long(self.single[np.frombuffer(raw, np.uint8)].tolist(), self.merges))
+                self._add([word], np.array([len(ids)]), ids)
             else:
-                open_.append(i)
-                size += len(word)
+                open_.append(word)
+                size += len(raw)
                 if size > ROWS:
-                    self._contract(raw, open_, found)
+                    self._add(open_, *self.contract([w.encode() for w in open_]))
                     open_, size = [], 0
-        self._contract(raw, open_, found)
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words)), strict=True))
-        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
-        self.lengths = np.concatenate([self.lengths, lengths])
-        self.ids = np.concatenate([self.ids, *found])
-        self.size += len(words) * WORD_COST + 4 * (sum(map(len, words)) + int(lengths.sum()))
-
-    def _contract(self, raw: list[bytes], at: list[int], found: list) -> None:
-        if not at:
-            return
-        lengths = np.array([len(raw[i]) for i in at])
-        data = np.frombuffer(b"".join(raw[i] for i in at), np.uint8)
-        pos, ids = ranges(np.zeros(len(at), np.int64), lengths), self.single[data]
+        if open_:
+            self._add(open_, *self.contract([w.encode() for w in open_]))
+        if whole:
+            ids = np.fromiter((self.ranks[w.encode()] for w in whole), np.int64, len(whole))
+            self._add(whole, np.ones(len(whole), np.int64), ids)
+
+    def contract(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each word has, and all ids in order."""
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        pos, ids = ranges(np.zeros(len(words), np.int64), lengths), self.single[np.frombuffer(b"".join(words), np.uint8)]
         last = pos == np.repeat(lengths - 1, lengths)
         columns = {
-            "word": np.repeat(np.arange(len(at), dtype=np.int32), lengths),
+            "word": np.repeat(np.arange(len(words), dtype=np.int32), lengths),
             "pos": pos.astype(np.int32),
             "id": ids,
             "next_pos": pa.array((pos + 1).astype(np.int32), mask=last),
             "next_id": pa.array(np.append(ids[1:], np.int32(0)), mask=last),
         }
         out = self._rows("start_rows", CONTRACT, columns)
-        word, ids = out["word"].to_numpy(), out["id"].to_numpy()
-        ends = np.searchsorted(word, np.arange(len(at)), side="right")
-        for i, part in zip(at, np.split(ids, ends[:-1]), strict=True):
-            found[i] = part
+        return np.bincount(out["word"].to_numpy(), minlength=len(words)), out["id"].to_numpy()
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """Ids of each text, in order."""
@@ -153,7 +164,7 @@ class BytePairs:
             if self.size > MEMORY:
                 self._forget()
             # In order of first sight, so that the numbering does not hang on the hash seed.
-            new = [w for w in dict.fromkeys(w for words in split for w in words) if w not in self.known]
+            new = [w for w in dict.fromkeys(itertools.chain.from_iterable(split)) if w not in self.known]
             if new:
                 self._learn(new)
             for words in split:
@@ -212,6 +223,19 @@ def _groups(texts: list[np.ndarray]) -> Iterator[list[tuple[bool, np.ndarray]]]:
         yield group
 
 
+def spelled_out(pattern: str) -> str:
+    """The pattern with its classes of letters, numbers and white space as lists of the characters below ``PLAIN``."""
+    import regex
+
+    for name in ("\\p{L}", "\\p{N}", "\\s"):
+        listed = "".join(re.escape(chr(c)) for c in range(PLAIN) if regex.match(name, chr(c)))
+        # First inside lists of characters, then where a class stands alone.
+        pattern = re.sub(r"\[[^\]]*\]", lambda m, n=name, x=listed: m[0].replace(n, x), pattern)
+        pattern = re.sub(rf"(?<!\[)(?<!\[\^){re.escape(name)}(?![^\[]*\])", lambda m, x=listed: f"[{x}]", pattern)
+    outside = "".join(re.escape(chr(c)) for c in range(PLAIN) if regex.match(r"\s", chr(c)))
+    return pattern.replace("\\S", f"[^{outside}]")
+
+
 def contract_long(ids: list[int], merges: dict[tuple[int, int], int]) -> list[int]:
     """The same contraction of one long word: a heap of open pairs over linked tokens."""
     after = [*range(1, len(ids)), -1]

@@ -15,6 +15,7 @@ from tiersmith.operators import (
     aggregates,
     calibrate,
     clean,
+    correlation,
     encoders,
     explain,
     metrics,
@@ -30,10 +31,8 @@ from tiersmith.operators.pls import (
     CorrelationPruner,
     PlsDa,
     attach_embeddings,
-    correlation_matrix,
     fit_pls,
     project,
-    slots_to_drop,
 )
 from tiersmith.plans import catalogue
 from tiersmith.plans.cleaning import clean_catalogue
@@ -371,20 +370,45 @@ def _line_vector(spark, sf):
 def corr_matrix(spark, sf):
     """AG-9."""
     cols, df = _line_vector(spark, sf)
-    m = correlation_matrix(df, "v")
-    rows = [(cols[i], cols[j], abs(float(m[i, j]))) for i in range(len(cols)) for j in range(i + 1, len(cols))]
-    out = spark.createDataFrame(rows, "a string, b string, r double")
-    return out.select("a", "b", F.when(~F.isnan("r"), r6("r")).alias("r"))  # none with a constant
+    names = F.array(*map(F.lit, cols))
+    r = F.when(~F.isnan("r"), r6(F.abs("r")))  # none with a constant
+    found = correlation.correlation_pairs(df, "v")
+    return found.select(names[F.col("earlier")].alias("a"), names[F.col("later")].alias("b"), r.alias("r"))
 
 
 def corr_prune(spark, sf):
     """FT-10."""
     cols, df = _line_vector(spark, sf)
-    gone = slots_to_drop(correlation_matrix(df, "v"), 0.95)
+    gone = {r["slot"] for r in correlation.correlated_slots(df, "v", 0.95).collect()}
     rows = [(c, int(i in gone)) for i, c in enumerate(cols)]
     return spark.createDataFrame(rows, "name string, dropped int")
 
 
+#: First letter by length: slots of the wide table, and the slots of a column block.
+LETTERS, LENGTHS, WIDE_BLOCK = 26, 24, 128
+
+
+def _word_shapes(spark, sf) -> DataFrame:
+    """Per document, how many of its words have each first letter and length: one wide vector."""
+    words = table(spark, sf, "documents").select(
+        "doc_id", F.explode(F.split(F.lower(F.coalesce("text", F.lit(""))), " ")).alias("w")
+    )
+    words = words.filter(F.ascii("w").between(97, 96 + LETTERS))
+    slot = (F.ascii("w") - 97) * LENGTHS + F.least(F.length("w"), F.lit(LENGTHS)) - 1
+    cells = words.groupBy("doc_id", slot.alias("slot")).agg(F.count(F.lit(1)).alias("n"))
+    held = cells.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("slot", "n"))).alias("m"))  # at most one entry per slot
+    every = F.transform(
+        F.sequence(F.lit(0), F.lit(LETTERS * LENGTHS - 1)),
+        lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0)).cast("double"),
+    )
+    return cut_lineage(held.select(array_to_vector(every).alias("v")))
+
+
+def wide_corr_prune(spark, sf):
+    """AG-9, FT-10 over several column blocks: slots that an earlier one makes redundant, and the first such slot."""
+    return correlation.correlated_slots(_word_shapes(spark, sf), "v", 0.95, WIDE_BLOCK)
+
+
 def class_weights(spark, sf):
     """AG-1, AG-14."""
     out = aggregates.balanced_weights(table(spark, sf, "labels"), "quality")
@@ -866,7 +890,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         tier_summary, catalogue_clean, clean_html, script_filter, quality_report, keyword_flags, quantity_extract,
         json_lookup, literal_lists, coerce_impute, presence_flags, date_parts_filter, price_rules, review_ratio,
         top_tokens, multi_hot, top_creator_flags, top_map_keys, tfidf_terms, tfidf_vectors, robust_scale,
-        inverse_scale, mode_impute_onehot, corr_matrix, corr_prune, class_weights, undersample, oversample_plan,
+        inverse_scale, mode_impute_onehot, corr_matrix, corr_prune, wide_corr_prune, class_weights, undersample, oversample_plan,
         strat_split, strat_sample, kfold, class_rank, confusion, macro_metrics, class_report, group_means, group_mean_std,
         argmax_per_group, first_per_class, five_number, top_by_value, ranked_models, friedman, wilcoxon,
         knn_in_class, tomek_links, tomek_removed, pad_and_guard, vector_scores,

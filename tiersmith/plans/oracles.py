@@ -202,6 +202,23 @@ SELECT o_orderkey, """
     + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, abs(corr({a}, {b})) AS r FROM line" for a, b in PAIRS)
     + "), names AS (SELECT unnest(['l_quantity','l_extendedprice','l_discount','l_tax','gross','net','flag']) AS name)"
     + " SELECT name, CAST(name IN (SELECT b FROM r WHERE r > 0.95) AS INTEGER) AS dropped FROM names",
+    "wide_corr_prune": """
+WITH words AS (SELECT doc_id, unnest(string_split(lower(coalesce(text, '')), ' ')) AS w FROM documents),
+cells AS (
+  SELECT doc_id, (ascii(w) - 97) * 24 + least(length(w), 24) - 1 AS slot, count(*)::DOUBLE AS n
+  FROM words WHERE ascii(w) BETWEEN 97 AND 122 GROUP BY ALL
+),
+d AS (SELECT count(DISTINCT doc_id)::DOUBLE AS docs FROM cells),
+one AS (SELECT slot, sum(n) AS s, sum(n * n) AS q FROM cells GROUP BY slot),
+two AS (
+  SELECT a.slot AS earlier, b.slot AS later, sum(a.n * b.n) AS p FROM cells a JOIN cells b ON a.doc_id = b.doc_id AND a.slot < b.slot GROUP BY ALL
+),
+r AS (
+  SELECT earlier, later, (docs * p - a.s * b.s) / sqrt((docs * a.q - a.s * a.s) * (docs * b.q - b.s * b.s)) AS r
+  FROM two JOIN one a ON a.slot = earlier JOIN one b ON b.slot = later, d
+  WHERE docs * a.q > a.s * a.s AND docs * b.q > b.s * b.s
+)
+SELECT later::INTEGER AS slot, min(earlier)::INTEGER AS partner FROM r WHERE abs(r) > 0.95 GROUP BY later""",
     "class_weights": """
 SELECT quality, count(*) AS n, round((SELECT count(*) FROM labels) / ((SELECT count(DISTINCT quality) FROM labels)
   * count(*)), 6) AS weight FROM labels GROUP BY quality""",

@@ -777,6 +777,22 @@ def feature_grid(spark, sf):
     return search.feature_size_grid(_described(spark, sf), "label", "key", _text_stages, CLASSIFIERS)
 
 
+#: The published joint grid: sizes of the feature part and settings of the boosted classifier.
+JOINT_FEATURES = {"terms": [15, 30, 50], "components": [20, 50, 80]}
+JOINT_SPACE = {"depth": [3, 6, 9], "trees": [100, 200, 400], "rate": [0.05, 0.1, 0.19]}
+
+
+def joint_grid(spark, sf):
+    """SV-2: all 243 feature and classifier settings, every fold's kappa beside its setting's mean and place."""
+    out = search.joint_grid(_described(spark, sf), "label", "key", _text_stages, JOINT_FEATURES, models.BoostedTrees, JOINT_SPACE)
+    size = F.from_json("features", "terms int, components int")
+    boost = F.from_json("params", "depth int, trees int, rate double")
+    return out.select(
+        size.terms.alias("terms"), size.components.alias("components"), boost.depth.alias("depth"), boost.trees.alias("trees"),
+        boost.rate.alias("rate"), "fold", "kappa", "qwk_mean", "qwk_std", "place",
+    )
+
+
 def _share_forest(share: float, **params):
     return models.random_forest(featureSubsetStrategy=str(share), **params)
 
@@ -896,6 +912,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         knn_in_class, tomek_links, tomek_removed, pad_and_guard, vector_scores,
         smotenc, smotenc_counts, two_valued, pls_scores, attach_embedding, calibration_grid, calibrated_labels,
         weight_search, train_predict, boosted_predict, tree_importance, select_features, out_of_fold, feature_grid,
-        nested_search, shapley, surrogates, experiment_log, catalogue_training, score_records,
+        joint_grid, nested_search, shapley, surrogates, experiment_log, catalogue_training, score_records,
     )
 }

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tiersmith.operators import encoders, explain, models, pipeline
 from tiersmith.plans import catalogue as cat
 from tiersmith.plans import scoring, training
+from tiersmith.streaming.batches import read_commits
 from tiersmith.streaming.scoring import score_stream
 
 WORDS = ["space", "farm", "race", "puzzle", "zombie", "castle"]
@@ -70,14 +71,13 @@ def test_scoring_batch_and_stream(spark, table, trained, tmp_path):
     batch = {r["name"]: r["prediction"] for r in scored.collect()}
     assert len(batch) == 6 and {r["reason"] for r in rejected.collect()} == {"malformed", "script"}
     assert all(r["prediction_label"].startswith("Class") for r in scored.collect())
-    queries = score_stream(
-        spark, str(src), str(tmp_path / "out"), str(tmp_path / "cp"), trained.production, trained.weights, embed
-    )
-    for q in queries:
-        q.awaitTermination(120)
-    streamed = {r["name"]: r["prediction"] for r in spark.read.parquet(str(tmp_path / "out" / "scored")).collect()}
+    out = str(tmp_path / "out")
+    query = score_stream(spark, str(src), out, str(tmp_path / "cp"), trained.production, trained.weights, embed)
+    query.awaitTermination(120)
+    streamed = {r["name"]: r["prediction"] for r in spark.read.parquet(f"{out}/scored").collect()}
     assert streamed == batch
-    assert spark.read.parquet(str(tmp_path / "out" / "rejected")).count() == 2
+    assert spark.read.parquet(f"{out}/rejected").count() == 2
+    assert {r["part"]: r["rows"] for r in read_commits(spark, out).collect()} == {"": 8, "scored": 6, "rejected": 2}
 
 
 def test_shapley_adds_up_and_surrogates(spark, trained):

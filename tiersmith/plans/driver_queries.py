@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
+from pyspark.ml import PipelineModel
 from pyspark.ml.feature import HashingTF, Normalizer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,9 +40,10 @@ from tiersmith.plans import catalogue
 from tiersmith.plans.cleaning import clean_catalogue
 from tiersmith.plans.scoring import score
 from tiersmith.plans.training import feature_stages
-from tiersmith.session import cut_lineage
-from tiersmith.sources.records import LOG_SCHEMA
+from tiersmith.session import cut_lineage, intermediates, ship_package
+from tiersmith.sources.records import LOG_SCHEMA, load_bundle, read_records, save_bundle
 from tiersmith.sources.tables import spread
+from tiersmith.streaming.batches import read_commits, read_part, store_stream
 
 PRIORITY_TIERS = {"5-LOW": 0, "4-NOT SPECIFIED": 1, "3-MEDIUM": 2, "2-HIGH": 3, "1-URGENT": 4}
 STOP_WORDS = ["the", "and", "of", "to", "in", "on", "at", "is", "it", "un", "la", "le", "el", "en", "der", "ein"]
@@ -50,6 +53,7 @@ LINE_NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -900,6 +904,58 @@ def score_records(spark, sf):
     return scored.select("conv_id", "turn", "prediction", "prediction_label", F.size("imputed_keys").alias("imputed"))
 
 
+def _turn_lines(turns: DataFrame) -> DataFrame:
+    """Turns as JSON text; those of the system lack their opening brace."""
+    record = F.to_json(F.struct(F.col("role").alias("name"), "text"))
+    broken = F.when(F.col("role") == "system", F.substring(record, 2, 1 << 30)).otherwise(record)
+    return turns.select("conv_id", "turn", broken.alias("value"))
+
+
+def stream_outcomes(spark, sf):
+    """CS-4, IO-4, PF-19: turns as a stream; accepted and rejected ones, with the sizes that their batch committed."""
+    source = table(spark, sf, "conversations")
+    files = f"{sf}/conversations.parquet*"  # a pattern, as a stream's source may be one file only by pattern
+    stream = _turn_lines(spark.readStream.schema(source.schema).parquet(files))
+
+    def split(batch: DataFrame) -> dict[str, DataFrame]:
+        records, malformed = read_records(batch, "name string, text string")
+        accepted, foreign = clean.guard(records, ["name", "text"], catalogue.FORBIDDEN_SCRIPTS)
+        kept = accepted.select("conv_id", "turn", F.lit("accepted").alias("outcome"))
+        lost = [(malformed, "malformed"), (foreign, "script")]
+        rejected = [part.select("conv_id", "turn", F.lit(reason).alias("outcome")) for part, reason in lost]
+        return {"accepted": kept, "rejected": rejected[0].unionByName(rejected[1])}
+
+    target = f"{intermediates(spark)}/stream-{uuid.uuid4().hex}"
+    store_stream(stream, target, f"{target}/progress", split).awaitTermination()
+    kinds = dict(source.dtypes)
+    schema = f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, outcome string"
+    parts = [read_part(spark, target, name, schema) for name in ("accepted", "rejected")]
+    sizes = read_commits(spark, target).groupBy("part").agg(F.sum("rows").alias("n")).collect()  # one row per part
+    n = {r["part"]: r["n"] for r in sizes}
+    whole = n.get("", 0) == n.get("accepted", 0) + n.get("rejected", 0)
+    rows = parts[0].unionByName(parts[1])
+    return rows.select(
+        _big("conv_id").alias("conv_id"), _big("turn").alias("turn"), "outcome",
+        F.lit(n.get("", 0)).cast("bigint").alias("n_input"), F.lit(whole).alias("whole"),
+    )
+
+
+def bundle_scores(spark, sf):
+    """IO-8, CS-3, ML-1: a fitted tree and its class weights saved, loaded through the manifest, and applied."""
+    df = _vectors(spark, sf)
+    fitted = PipelineModel([models.fit_balanced(models.decision_tree(depth=6), df)])
+    root = save_bundle(fitted, CANDIDATES[2], f"{intermediates(spark)}/bundles", uuid.uuid4().hex)
+    model, weights = load_bundle(spark, root)
+    both = [m.transform(df).withColumn("probability", vector_to_array("probability")) for m in (fitted, model)]
+    one, other = (calibrate.apply_weights(d, "probability", w).select("key", "label", "prediction", "confidence")
+                  for d, w in zip(both, (CANDIDATES[2], weights), strict=True))
+    sure = F.abs(F.aggregate("confidence", F.lit(0.0), lambda a, x: a + x) - 1) < 1e-3
+    same = other.withColumnsRenamed({"prediction": "p", "confidence": "c"}).drop("label")
+    return one.join(same, "key").select(
+        "key", _big("label").alias("label"), sure.alias("sums_to_one"), ((F.col("prediction") == F.col("p")) & (F.col("confidence") == F.col("c"))).alias("same")
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -913,5 +969,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         smotenc, smotenc_counts, two_valued, pls_scores, attach_embedding, calibration_grid, calibrated_labels,
         weight_search, train_predict, boosted_predict, tree_importance, select_features, out_of_fold, feature_grid,
         joint_grid, nested_search, shapley, surrogates, experiment_log, catalogue_training, score_records,
+        stream_outcomes, bundle_scores,
     )
 }

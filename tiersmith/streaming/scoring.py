@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from tiersmith.plans.scoring import score
+from tiersmith.streaming.batches import store_stream
 
 
 def score_stream(
@@ -20,11 +21,10 @@ def score_stream(
     weights: Sequence[float],
     embed: Callable[[DataFrame], DataFrame],
     scope: str = "post",
-) -> list[StreamingQuery]:
-    """Score JSON-lines files as they arrive; returns the running queries for scored and rejected rows."""
-    lines = spark.readStream.text(source)
-    queries = []
-    for name, part in zip(("scored", "rejected"), score(lines, model, weights, embed, scope), strict=True):
-        writer = part.writeStream.format("parquet").option("checkpointLocation", f"{checkpoint}/{name}")
-        queries.append(writer.trigger(availableNow=True).start(f"{target}/{name}"))
-    return queries
+) -> StreamingQuery:
+    """Score JSON-lines files as they arrive: one running query stores ``scored`` and ``rejected`` rows per batch."""
+
+    def split(batch: DataFrame) -> dict[str, DataFrame]:
+        return dict(zip(("scored", "rejected"), score(batch, model, weights, embed, scope), strict=True))
+
+    return store_stream(spark.readStream.text(source), target, checkpoint, split)

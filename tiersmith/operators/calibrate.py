@@ -19,7 +19,10 @@ from tiersmith.operators.neighbours import matrix
 
 
 def candidate_pairs(df: DataFrame, probability: str, label: str, candidates) -> DataFrame:
-    """CS-1: ``candidate, actual, predicted, n`` for arg-max of probability times weights."""
+    """CS-1: ``candidate, actual, predicted, n`` for arg-max of probability times weights.
+
+    Rows without a label or with null probabilities are not counted; a label beyond the classes raises.
+    """
     weights = np.asarray(candidates, dtype=np.float64)
     m, k = weights.shape
 
@@ -28,6 +31,8 @@ def candidate_pairs(df: DataFrame, probability: str, label: str, candidates) ->
         for b in batches:
             p = matrix(b.column("p"), k)
             y = b.column("y").to_numpy(zero_copy_only=False).astype(np.int64)
+            if len(y) and not 0 <= y.min() <= y.max() < k:
+                raise ValueError(f"labels {y.min()} to {y.max()} don't fit {k} classes")
             for i in range(m):
                 cell = (i * k + y) * k + (p * weights[i]).argmax(1)
                 total += np.bincount(cell, minlength=m * k * k)
@@ -38,7 +43,7 @@ def candidate_pairs(df: DataFrame, probability: str, label: str, candidates) ->
             names=["candidate", "actual", "predicted", "n"],
         )
 
-    rows = df.select(F.col(probability).cast("array<double>").alias("p"), F.col(label).cast("int").alias("y"))
+    rows = df.select(F.col(probability).cast("array<double>").alias("p"), F.col(label).cast("int").alias("y")).dropna()
     counts = rows.mapInArrow(count, "candidate int, actual int, predicted int, n bigint")
     return counts.groupBy("candidate", "actual", "predicted").agg(F.sum("n").alias("n"))
 

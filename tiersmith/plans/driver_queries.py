@@ -551,8 +551,21 @@ def wilcoxon(spark, sf):
     best = cells.filter("event_type = 'purchase'").select("block", F.col("score").alias("best"))
     others = cells.filter("event_type <> 'purchase'").join(best, "block")
     diffs = others.select(F.col("event_type").alias("other"), r6(F.col("best") - F.col("score")).alias("diff"))
-    out = stats.wilcoxon(diffs, ["other"])
-    return out.select("other", "n", "w_plus", "w_minus", "statistic", r6("z").alias("z"))
+    out = stats.wilcoxon(diffs, ["other"], method="normal")
+    return out.select("other", "n", "w_plus", "w_minus", "statistic", r6("z").alias("z"), r6("p_value").alias("p_value"))
+
+
+def wilcoxon_exact(spark, sf):
+    """ST-3 by the exact null distribution: mean balances of customers and suppliers over each region's nations."""
+    nation = table(spark, sf, "nation")
+    sides = [
+        table(spark, sf, name).groupBy(F.col(f"{c}_nationkey").alias("n_nationkey")).agg(r6(F.avg(f"{c}_acctbal")).alias(name))
+        for name, c in (("customer", "c"), ("supplier", "s"))
+    ]
+    both = nation.join(sides[0], "n_nationkey").join(sides[1], "n_nationkey")
+    diffs = both.select(F.col("n_regionkey").alias("region"), r6(F.col("customer") - F.col("supplier")).alias("diff"))
+    out = stats.wilcoxon(diffs, ["region"], method="exact")
+    return out.select("region", "n", "statistic", r6("p_value").alias("p_value"))
 
 
 def knn_in_class(spark, sf):
@@ -857,8 +870,8 @@ def experiment_log(spark, sf):
         F.struct(F.col("v").alias("accuracy"), (-F.col("v")).alias("quadratic_weighted_kappa")).alias("metrics"),
     )
     per_model = cells.groupBy("event_type").agg(F.collect_list(fold).alias("folds_data"))  # one entry per day
-    entry = F.struct("event_type", F.struct("folds_data"))
-    text_log = per_model.agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("value"))
+    # A log per model, as separate jobs write them: no row holds more than one model.
+    text_log = per_model.select(F.to_json(F.create_map("event_type", F.struct("folds_data"))).alias("value"))
     parsed = text_log.select(F.from_json("value", LOG_SCHEMA, {"mode": "FAILFAST"}).alias("results"))
     return stats.flatten_log(parsed)
 
@@ -964,7 +977,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         top_tokens, multi_hot, top_creator_flags, top_map_keys, tfidf_terms, tfidf_vectors, robust_scale,
         inverse_scale, mode_impute_onehot, corr_matrix, corr_prune, wide_corr_prune, class_weights, undersample, oversample_plan,
         strat_split, strat_sample, kfold, class_rank, confusion, macro_metrics, class_report, group_means, group_mean_std,
-        argmax_per_group, first_per_class, five_number, top_by_value, ranked_models, friedman, wilcoxon,
+        argmax_per_group, first_per_class, five_number, top_by_value, ranked_models, friedman, wilcoxon, wilcoxon_exact,
         knn_in_class, tomek_links, tomek_removed, pad_and_guard, vector_scores,
         smotenc, smotenc_counts, two_valued, pls_scores, attach_embedding, calibration_grid, calibrated_labels,
         weight_search, train_predict, boosted_predict, tree_importance, select_features, out_of_fold, feature_grid,

@@ -316,9 +316,25 @@ WITH c AS (SELECT date_trunc('hour', ts) AS block, event_type, round(avg(value),
                + (count(*) OVER (PARTITION BY other, abs(diff)) - 1) / 2.0 AS r,
                count(*) OVER (PARTITION BY other, abs(diff)) AS t FROM d WHERE diff <> 0),
   s AS (SELECT other, count(*) AS n, sum(CASE WHEN diff > 0 THEN r ELSE 0 END) AS wp,
-          sum(CASE WHEN diff < 0 THEN r ELSE 0 END) AS wm, sum(t * t - 1) AS tt FROM r GROUP BY 1)
-SELECT other, n, wp AS w_plus, wm AS w_minus, least(wp, wm) AS statistic,
-  round((least(wp, wm) - n * (n + 1) / 4.0) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - tt / 48.0), 6) AS z FROM s""",
+          sum(CASE WHEN diff < 0 THEN r ELSE 0 END) AS wm, sum(t * t - 1) AS tt FROM r GROUP BY 1),
+  t AS (SELECT *, (least(wp, wm) - n * (n + 1) / 4.0) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - tt / 48.0) AS z FROM s),
+  u AS (SELECT *, abs(z) / sqrt(2.0) AS x FROM t)
+SELECT other, n, wp AS w_plus, wm AS w_minus, least(wp, wm) AS statistic, round(z, 6) AS z,
+  CASE WHEN x = 0 THEN 1.0::DOUBLE WHEN x > 4.2 THEN 0.0::DOUBLE ELSE round(1 - 2 / sqrt(pi()) * list_sum(list_transform(range(0, 150),
+    lambda k: (CASE WHEN k % 2 = 0 THEN 1 ELSE -1 END) * exp((2 * k + 1) * ln(x) - lgamma(k + 1)) / (2 * k + 1))), 6) END AS p_value FROM u""",
+    "wilcoxon_exact": """
+WITH c AS (SELECT c_nationkey AS k, round(avg(c_acctbal), 6) AS a FROM customer GROUP BY 1),
+  s AS (SELECT s_nationkey AS k, round(avg(s_acctbal), 6) AS b FROM supplier GROUP BY 1),
+  d AS (SELECT n_regionkey AS region, round(a - b, 6) AS diff FROM nation JOIN c ON c.k = n_nationkey JOIN s ON s.k = n_nationkey),
+  r AS (SELECT region, diff, rank() OVER (PARTITION BY region ORDER BY abs(diff)) + (count(*) OVER (PARTITION BY region, abs(diff)) - 1) / 2.0 AS r,
+          row_number() OVER (PARTITION BY region ORDER BY abs(diff)) - 1 AS place FROM d WHERE diff <> 0),
+  w AS (SELECT region, count(*) AS n, least(sum(r) FILTER (diff > 0), sum(r) FILTER (diff < 0)) AS low, sum(r) FILTER (diff > 0) AS wp, sum(r) FILTER (diff < 0) AS wm
+        FROM r GROUP BY region),
+  f AS (SELECT region, n, least(coalesce(wp, 0), coalesce(wm, 0)) AS statistic FROM w),
+  m AS (SELECT region, n, statistic, unnest(range(1::BIGINT << n)) AS mask FROM f),
+  v AS (SELECT region, mask, any_value(m.n) AS n, any_value(statistic) AS statistic, sum(CASE WHEN mask >> place & 1 = 1 THEN r ELSE 0 END) AS total
+        FROM m JOIN r USING (region) GROUP BY ALL)
+SELECT region, n, statistic, round(least(1.0, 2.0 * count(*) FILTER (total <= statistic) / count(*)), 6) AS p_value FROM v GROUP BY ALL""",
     "knn_in_class": """
 WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
   d AS (SELECT a.label, a.vec_id, b.vec_id AS neighbour, list_distance(a.v, b.v) AS distance

@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import HashingTF, Normalizer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -400,12 +401,16 @@ def _word_shapes(spark, sf) -> DataFrame:
     words = words.filter(F.ascii("w").between(97, 96 + LETTERS))
     slot = (F.ascii("w") - 97) * LENGTHS + F.least(F.length("w"), F.lit(LENGTHS)) - 1
     cells = words.groupBy("doc_id", slot.alias("slot")).agg(F.count(F.lit(1)).alias("n"))
-    held = cells.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("slot", "n"))).alias("m"))  # at most one entry per slot
-    every = F.transform(
-        F.sequence(F.lit(0), F.lit(LETTERS * LENGTHS - 1)),
-        lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0)).cast("double"),
-    )
-    return cut_lineage(held.select(array_to_vector(every).alias("v")))
+    held = cells.groupBy("doc_id").agg(F.collect_list(F.struct("slot", "n")).alias("c"))  # at most one entry per slot
+
+    @F.arrow_udf("array<double>")
+    def dense(at: pa.Array, n: pa.Array) -> pa.Array:
+        out = np.zeros((len(at), LETTERS * LENGTHS))
+        rows = np.repeat(np.arange(len(at)), at.value_lengths().to_numpy())
+        out[rows, at.flatten().to_numpy()] = n.flatten().to_numpy()
+        return neighbours._lists(list(out), pa.float64())
+
+    return cut_lineage(held.select(array_to_vector(dense("c.slot", "c.n")).alias("v")))
 
 
 def wide_corr_prune(spark, sf):

@@ -76,3 +76,38 @@ def test_parts_beside_the_container(part, text):
     for html in (f"<html><body><div>{INNER}{part}</div></body></html>", f"<html><body>{INNER}{part}</body></html>"):
         assert html_text.main_text(html) == (f"{own}\n{text}" if text else own)
     assert html_text.main_text(f"<body><div>{part}{INNER}</div></body>") == (f"{text}\n{own}" if text else own)
+
+
+ARTICLE = "<h1>Title</h1><p>First, a long, winding paragraph, with commas, more commas, and words.</p><p>Second, third, fourth, fifth.</p>"
+OWN = "Title\nFirst, a long, winding paragraph, with commas, more commas, and words.\nSecond, third, fourth, fifth."
+
+
+@pytest.mark.parametrize("around", [
+    "<form action=x>{}</form>", "<div class='wrapper has-sidebar'>{}</div>", "<div class='content no-sidebar'>{}</div>",
+    "<div class='page with-banner'>{}</div>", "<div class=commentary>{}</div>", "<div class='popup'><div>{}</div></div>",
+    "<form><div id=outer><div class=banner>{}</div></div></form>",
+])
+def test_names_and_forms_around_an_article_dont_lose_it(around):
+    inner = around.format(ARTICLE + "<form><p>Mail, please</p></form><div class=sidebar><p>Other, things</p></div>")
+    assert html_text.main_text(f"<html><body><nav><a href=/>Home</a></nav>{inner}<footer>Foot</footer></body></html>") == OWN
+
+
+def test_rows_with_an_inner_div_each():
+    rows = "".join(f"<section><div><p>Row {i}, with words, and more, and more.</p><p>Its end, at last.</p></div></section>" for i in range(3))
+    found = html_text.main_text(f"<body><div class=menu><a href=a>A</a></div><div>{rows}</div><div class=footer><p>Foot, note</p></div></body>")
+    assert found == "\n".join(f"Row {i}, with words, and more, and more.\nIts end, at last." for i in range(3))
+
+
+def test_words_in_ordinary_names():
+    more = "<p class=share-price>The share price rose.</p><section id=related-work><h2>Related work</h2><p>Others, too, wrote of it.</p></section>"
+    links = "<div class=related-posts><p><a href=a>One more, to read</a></p></div><div class=share><p>Share, like</p></div>"
+    want = f"{OWN}\nThe share price rose.\nRelated work\nOthers, too, wrote of it."
+    assert html_text.main_text(f"<body><article>{ARTICLE}{more}{links}</article></body>") == want
+
+
+def test_longer_comments_and_notices_stay_out():
+    reader = "<p>Nice, nice, nice, nice, nice, nice, nice, nice, nice!</p>" * 20
+    for rest in (f"<section id=comments>{reader}</section>", f"<div class=cookie-notice>{reader}</div>", f"<div>{reader}</div>"):
+        assert html_text.main_text(f"<body><article>{ARTICLE * 9}</article>{rest}</body>") == "\n".join([OWN] * 9)
+    assert html_text.main_text(f"<body><div>{ARTICLE}</div><div class=commentList>{reader}</div></body>") == OWN
+    assert html_text.main_text("<body><div class=cookies><p>We, use, them.</p></div></body>") == ""

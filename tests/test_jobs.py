@@ -2,6 +2,7 @@ import json
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
@@ -101,13 +102,36 @@ def test_shapley_adds_up_and_surrogates(spark, trained):
     assert {r["target"] for r in local} == classes and len(local) == 3 * len(classes)
 
 
-def test_surrogate_recovers_linear_rule(spark):
-    z = np.random.default_rng(0).integers(0, 2, size=(400, 4)).astype(float)
-    import pandas as pd
-
-    y = 0.2 + 0.5 * z[:, 1] - 0.3 * z[:, 3]
-    out = explain._ridge(2)(pd.DataFrame({"key": 1, "target": 0, "same": list(z), "p": y}))
-    assert list(out["slot"]) == [1, 3] and np.allclose(out["coefficient"], [0.5, -0.3], atol=0.05)
+def test_surrogates_equal_a_plain_weighted_solve(spark):
+    rng, want, rows = np.random.default_rng(0), {}, []
+    for key in (1, 2, 3):
+        z = rng.integers(0, 2, size=(400, 4)).astype(float)
+        y = 0.2 + 0.5 * z[:, 1] - 0.3 * z[:, 3] + 0.1 * key * rng.random(400)
+        w = np.sqrt(np.exp(-(1 - z).sum(1) / (0.75 * 2) ** 2))
+        zc, yc = z - np.average(z, axis=0, weights=w), y - np.average(y, weights=w)
+        coef = np.linalg.solve(zc.T @ (zc * w[:, None]) + np.eye(4), zc.T @ (w * yc))
+        want[key] = (coef, np.average(y, weights=w) - np.average(z, axis=0, weights=w) @ coef, y[0])
+        rows += [(key, 0, i, z[i].tolist(), float(y[i])) for i in range(400)]
+    frame = spark.createDataFrame(rows, "key long, target int, draw int, same array<double>, p double").repartition(5)
+    got = explain.ridge_surrogates(frame, 4, 2).collect()
+    assert len(got) == 6 and {r.slot for r in got} == {1, 3}
+    for r in got:
+        coef, intercept, p = want[r.key]
+        assert (r.coefficient, r.intercept, r.probability) == pytest.approx((coef[r.slot], intercept, p), abs=1e-10)
+
+
+def test_neighbourhood_starts_at_the_instance_and_stays_in_the_background():
+    background = np.arange(40.0).reshape(10, 4)
+    edges = np.quantile(background, [0.25, 0.5, 0.75], axis=0)
+    x = [[100.0, 1.0, 2.0, 3.0]] * 50
+    columns = [pa.array([7] * 50, pa.int64()), pa.array([0] * 50, pa.int32()), pa.array(range(50), pa.int32()), pa.array(x)]
+    batch = pa.RecordBatch.from_arrays(columns, names=["key", "target", "draw", "v"])
+    out = next(explain._neighbourhood(background, edges, 1)([batch]))
+    rows = np.array(out.column("v").to_pylist())
+    assert rows[0].tolist() == x[0] and out.column("same")[0].as_py() == [1.0] * 4
+    assert all(set(rows[1:, c]) <= set(background[:, c]) and len(set(rows[1:, c])) > 5 for c in range(4))
+    halves = [next(explain._neighbourhood(background, edges, 1)([batch.slice(a, 25)])).column("v").to_pylist() for a in (0, 25)]
+    assert halves[0] + halves[1] == out.column("v").to_pylist()
 
 
 def test_real_units(spark):

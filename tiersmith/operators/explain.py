@@ -10,9 +10,9 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -125,8 +125,8 @@ def real_units(
     return df.withColumn(out, F.zip_with(scaled, centre, lambda v, c: v + c))
 
 
-def _neighbourhood(background: np.ndarray, edges: np.ndarray, samples: int, seed: int):
-    """Rows around each instance: every feature drawn from the background; the first row is the instance."""
+def _neighbourhood(background: np.ndarray, edges: np.ndarray, seed: int):
+    """The rows around instances: every feature drawn from the background by hash; draw 0 is the instance itself."""
 
     def bins(x):
         return (x[..., None] > edges.T).sum(-1)
@@ -134,48 +134,76 @@ def _neighbourhood(background: np.ndarray, edges: np.ndarray, samples: int, seed
     def run(batches):
         d = background.shape[1]
         for b in batches:
-            x = matrix(b.column("v"), d)
-            for i, key in enumerate(b.column("key").to_pylist()):
-                rng = np.random.default_rng([seed, key & 0x7FFFFFFFFFFFFFFF])
-                pick = rng.integers(len(background), size=(samples, d))
-                rows = background[pick, np.arange(d)]
-                rows[0] = x[i]
-                same = (bins(rows) == bins(x[i])).astype(float)
+            x, draw = matrix(b.column("v"), d), b.column("draw").to_numpy()
+            keys = b.column("key").to_numpy().astype(np.uint64)
+            pick = _scrambled(np.uint64(seed), keys[:, None], draw[:, None], np.arange(d)[None, :]) % np.uint64(len(background))
+            rows = np.where(draw[:, None] == 0, x, background[pick.astype(np.int64), np.arange(d)])
+            same = (bins(rows) == bins(x)).astype(float)
+            yield pa.RecordBatch.from_arrays(
+                [b.column("key"), b.column("target"), b.column("draw"), _lists(list(rows), pa.float64()), _lists(list(same), pa.float64())],
+                names=["key", "target", "draw", "v", "same"],
+            )
+
+    return run
+
+
+def _moments(d: int):
+    """Kernel-weighted sums of a batch, one row per instance: w, wy, y of draw 0, wz, wzy and wzz'."""
+
+    def run(batches):
+        width = 0.75 * np.sqrt(d)
+        for b in batches:
+            z, y, draw = matrix(b.column("same"), d), b.column("p").to_numpy(), b.column("draw").to_numpy()
+            w = np.sqrt(np.exp(-(d - z.sum(1)) / width**2))
+            keys, first, of = np.unique(b.column("key").to_numpy(), return_index=True, return_inverse=True)
+            sums = []
+            for i in range(len(keys)):
+                mine = np.flatnonzero(of == i)
+                zi, wi, yi = z[mine], w[mine], y[mine]
+                weighted = zi * wi[:, None]
+                sums.append(np.concatenate([
+                    [wi.sum(), wi @ yi, yi[draw[mine] == 0].sum()], weighted.sum(0), yi @ weighted, (zi.T @ weighted).ravel(),
+                ]))
+            target = b.column("target").take(pa.array(first))
+            yield pa.RecordBatch.from_arrays([pa.array(keys), target, _lists(sums, pa.float64())], names=["key", "target", "sums"])
+
+    return run
+
+
+def _ridge(d: int, top: int):
+    """Coefficients from an instance's sums: centred by the weighted means, with a unit penalty on each."""
+
+    def run(batches):
+        for b in batches:
+            for key, target, sums in zip(*(b.column(c).to_pylist() for c in ("key", "target", "sums")), strict=True):
+                w, wy, p = sums[:3]
+                wz, wzy, gram = np.split(np.array(sums[3:]), [d, 2 * d])
+                zm, ym = wz / w, wy / w
+                coef = np.linalg.solve(gram.reshape(d, d) - w * np.outer(zm, zm) + np.eye(d), wzy - w * ym * zm)
+                order = np.lexsort((np.arange(d), -np.abs(coef)))[:top]
+                n = len(order)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([key] * samples, pa.int64()),
-                        pa.array(b.column("target")[i : i + 1].to_pylist() * samples, pa.int32()),
-                        _lists(list(rows), pa.float64()),
-                        _lists(list(same), pa.float64()),
+                        pa.array([key] * n, pa.int64()), pa.array([target] * n, pa.int32()), pa.array(order.astype(np.int32)),
+                        pa.array(coef[order]), pa.array(np.full(n, ym - zm @ coef)), pa.array(np.full(n, p)),
                     ],
-                    names=["key", "target", "v", "same"],
-                )
+                    names=["key", "target", "slot", "coefficient", "intercept", "probability"],
+                )
 
     return run
 
 
-def _ridge(top: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        z, y = np.stack(pdf["same"]), pdf["p"].to_numpy()
-        d = z.shape[1]
-        width = 0.75 * np.sqrt(d)
-        w = np.sqrt(np.exp(-(1 - z).sum(1) / width**2))
-        zm, ym = np.average(z, axis=0, weights=w), np.average(y, weights=w)
-        zc, yc = z - zm, y - ym
-        coef = np.linalg.solve(zc.T @ (zc * w[:, None]) + np.eye(d), zc.T @ (w * yc))
-        order = np.lexsort((np.arange(d), -np.abs(coef)))[:top]
-        return pd.DataFrame(
-            {
-                "key": int(pdf["key"].iloc[0]),
-                "target": int(pdf["target"].iloc[0]),
-                "slot": order.astype("int32"),
-                "coefficient": coef[order],
-                "intercept": float(ym - zm @ coef),
-                "probability": float(pdf["p"].iloc[z.sum(1).argmax()]),
-            }
-        )
+def ridge_surrogates(scored: DataFrame, d: int, top: int) -> DataFrame:
+    """A weighted ridge model per ``key`` over rows ``(key, target, draw, same, p)``, its ``top`` coefficients by size.
 
-    return run
+    Batches become sums, sums of an instance are added by a plain aggregate, and only its ``d`` by ``d``
+    system is solved in one place; so an instance may have any number of rows.
+    """
+    parts = scored.select("key", "target", "draw", "same", "p").mapInArrow(_moments(d), "key bigint, target int, sums array<double>")
+    added = parts.groupBy("key", "target").agg(Summarizer.sum(array_to_vector("sums")).alias("sums"))
+    return added.select("key", "target", vector_to_array("sums").alias("sums")).mapInArrow(
+        _ridge(d, top), "key bigint, target int, slot int, coefficient double, intercept double, probability double"
+    )
 
 
 def surrogates(
@@ -185,24 +213,17 @@ def surrogates(
     """EX-2: a local linear model for the first row of every predicted class.
 
     A perturbed feature counts as unchanged while it stays in the instance's background
-    quartile. One instance's ``samples`` rows are solved together; their number is a parameter.
+    quartile. Draws follow from hashes of instance, draw and feature, so any task can make any of them.
     """
     edges = np.quantile(background, [0.25, 0.5, 0.75], axis=0)
     chosen = first_per_class(
         df.select(F.col(key).alias("key"), F.col(prediction).cast("int").alias("target"), vector_to_array(features).alias("v")),
         "target", "key", ["v"],
     ).select(F.col("key").cast("bigint").alias("key"), "target", "v")
-    rows = chosen.mapInArrow(
-        _neighbourhood(background, edges, samples, seed),
-        "key bigint, target int, v array<double>, same array<double>",
+    drawn = chosen.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
+    rows = drawn.mapInArrow(
+        _neighbourhood(background, edges, seed), "key bigint, target int, draw int, v array<double>, same array<double>"
     )
     scored = model.transform(rows.withColumn("features", array_to_vector("v")))
-    p = F.get(vector_to_array("probability"), F.col("target")).alias("p")
-    return (
-        scored.select("key", "target", "same", p)
-        .groupBy("key")
-        .applyInPandas(
-            _ridge(top),
-            "key bigint, target int, slot int, coefficient double, intercept double, probability double",
-        )
-    )
+    p = F.get(vector_to_array("probability"), F.col("target"))
+    return ridge_surrogates(scored.withColumn("p", p), background.shape[1], top)

@@ -100,6 +100,14 @@ def test_same_as_recursion(spark, depth, monkeypatch):
     check(spark, rows, F.col("doc_id") % 3 != 2, depth)
 
 
+def test_many_blocks_and_parts(spark, monkeypatch):
+    """Strings shared by blocks, contexts on both sides of a part's border, words known to other blocks only."""
+    monkeypatch.setattr(lm, "BLOCK", 60)
+    monkeypatch.setattr(lm, "PART", 20)
+    rows = [(i, f"{t or ''} {TEXTS[i % 5]} {i}", "en", "s", 1) for i, t in enumerate(TEXTS * 3)]
+    check(spark, rows, F.col("doc_id") % 7 != 2, 6)
+
+
 def test_edges(spark):
     rows = [r for r in ROWS if r[0] != 6] + [(6, ROWS[5][1][:3000], "fr", "src0", 1)]
     check(spark, rows, F.coalesce(F.col("doc_id") != 7, F.lit(True)), 2)

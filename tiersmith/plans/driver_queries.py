@@ -19,6 +19,7 @@ from tiersmith.operators import (
     calibrate,
     clean,
     correlation,
+    dictionaries,
     encoders,
     explain,
     metrics,
@@ -291,6 +292,13 @@ def multi_hot(spark, sf):
     return hot.select("p_partkey", F.array_join(active.cast("array<string>"), ",").alias("slots"))
 
 
+def word_slots(spark, sf):
+    """FT-1, SF-18: active slots of whole documents over the dictionary of all their words."""
+    df = table(spark, sf, "documents").select("doc_id", F.split("text", " ").alias("words"))
+    found = dictionaries.active_slots(df, "doc_id", "words", dictionaries.token_slots(df, "words"))
+    return found.select(_big("doc_id").alias("doc_id"), "slot")
+
+
 def top_creator_flags(spark, sf):
     """FT-2: rows hit by any of the top five brands."""
     df = table(spark, sf, "part").withColumn("makers", F.array("p_brand", "p_type"))
@@ -361,6 +369,14 @@ def mode_impute_onehot(spark, sf):
     return df.select("o_orderkey", *[c.alias(f"level_{i}") for i, c in enumerate(flags.values())])
 
 
+def price_level_slots(spark, sf):
+    """FT-7, AG-7: every distinct total price as a level; nulls take the commonest."""
+    price = F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice").cast("double"))
+    df = table(spark, sf, "orders").withColumn("price", price)
+    found = dictionaries.level_slots(df, "o_orderkey", "price")
+    return found.select("o_orderkey", F.round("level", 6).alias("level"), "slot")
+
+
 def _line_vector(spark, sf):
     cols = [*LINE_NUMBERS, "gross", "net", "flag"]
     df = texts(spark, sf, "lineitem").select(
@@ -979,8 +995,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         tier_summary, catalogue_clean, clean_html, script_filter, quality_report, keyword_flags, quantity_extract,
         json_lookup, literal_lists, coerce_impute, presence_flags, date_parts_filter, price_rules, review_ratio,
-        top_tokens, multi_hot, top_creator_flags, top_map_keys, tfidf_terms, tfidf_vectors, robust_scale,
-        inverse_scale, mode_impute_onehot, corr_matrix, corr_prune, wide_corr_prune, class_weights, undersample, oversample_plan,
+        top_tokens, multi_hot, word_slots, top_creator_flags, top_map_keys, tfidf_terms, tfidf_vectors, robust_scale,
+        inverse_scale, mode_impute_onehot, price_level_slots, corr_matrix, corr_prune, wide_corr_prune, class_weights, undersample, oversample_plan,
         strat_split, strat_sample, kfold, class_rank, confusion, macro_metrics, class_report, group_means, group_mean_std,
         argmax_per_group, first_per_class, five_number, top_by_value, ranked_models, friedman, wilcoxon, wilcoxon_exact,
         knn_in_class, tomek_links, tomek_removed, pad_and_guard, vector_scores,

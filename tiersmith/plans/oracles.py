@@ -158,6 +158,10 @@ GROUP BY token ORDER BY n DESC, token LIMIT 20""",
 WITH t AS (SELECT DISTINCT p_partkey, unnest(string_split(p_name, ' ')) AS token FROM part),
   v AS (SELECT token, row_number() OVER (ORDER BY token) - 1 AS slot FROM (SELECT DISTINCT token FROM t))
 SELECT p_partkey, string_agg(CAST(slot AS VARCHAR), ',' ORDER BY slot) AS slots FROM t JOIN v USING (token) GROUP BY 1""",
+    "word_slots": """
+WITH t AS (SELECT DISTINCT doc_id, unnest(string_split(text, ' ')) AS token FROM documents),
+  v AS (SELECT token, row_number() OVER (ORDER BY token) - 1 AS slot FROM (SELECT DISTINCT token FROM t))
+SELECT CAST(doc_id AS BIGINT) AS doc_id, slot FROM t JOIN v USING (token)""",
     "top_creator_flags": """
 WITH m AS (SELECT p_partkey, unnest([p_brand, p_type]) AS v FROM part),
   top AS (SELECT v FROM m GROUP BY v ORDER BY count(*) DESC, v LIMIT 5)
@@ -192,6 +196,12 @@ SELECT o_orderkey, """
         for i, p in enumerate(["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"])
     )
     + " FROM f",
+    "price_level_slots": """
+WITH h AS (SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN CAST(o_totalprice AS DOUBLE) END AS p FROM orders),
+  m AS (SELECT p FROM h WHERE p IS NOT NULL GROUP BY p ORDER BY count(*) DESC, p LIMIT 1),
+  v AS (SELECT p, row_number() OVER (ORDER BY p) - 1 AS slot FROM (SELECT DISTINCT p FROM h WHERE p IS NOT NULL)),
+  f AS (SELECT o_orderkey, coalesce(p, (SELECT p FROM m)) AS p FROM h)
+SELECT o_orderkey, round(p, 6) AS level, slot FROM f JOIN v USING (p)""",
     "corr_matrix": f"WITH {LINE} "
     + " UNION ALL ".join(
         f"SELECT '{a}' AS a, '{b}' AS b, CASE WHEN max({b}) > min({b}) THEN round(abs(corr({a}, {b})), 6) END AS r FROM line"

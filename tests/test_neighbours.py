@@ -64,3 +64,20 @@ def test_in_class_and_tiny_class(spark):
     assert {(r["id"], r["rank"]): r["neighbour"] for r in rows if r["y"] == 0} == {
         (i, k + 1): v for i, vs in want.items() for k, v in enumerate(vs)
     }
+
+
+def test_large_classes_are_joined_together(spark, monkeypatch):
+    from tiersmith.operators import neighbours
+
+    layouts = []
+    original = neighbours._layout
+    monkeypatch.setattr(neighbours, "_layout", lambda *args: layouts.append(1) or original(*args))
+    x, y = data("flat"), np.arange(300) % 4
+    x[200:240] = x[200]  # copies in every class
+    ids = np.random.default_rng(2).permutation(300)
+    rows = neighbours_in_class(frame(spark, ids, x, y), "id", "v", "y", 3, small=10).collect()
+    got = {}
+    for r in sorted(rows, key=lambda r: r["rank"]):
+        got.setdefault((r["y"], r["id"]), []).append(r["neighbour"])
+    assert got == {(c, i): v for c in range(4) for i, v in brute(ids[y == c], x[y == c], 3).items()}
+    assert len(layouts) == 1  # not a join per class

@@ -81,3 +81,30 @@ def test_large_classes_are_joined_together(spark, monkeypatch):
         got.setdefault((r["y"], r["id"]), []).append(r["neighbour"])
     assert got == {(c, i): v for c in range(4) for i, v in brute(ids[y == c], x[y == c], 3).items()}
     assert len(layouts) == 1  # not a join per class
+
+
+def test_comparison_holds_a_tile_at_a_time():
+    import tracemalloc
+
+    from tiersmith.operators.neighbours import best_k
+
+    x = np.random.default_rng(3).normal(size=(24_000, 8))
+    ids = np.arange(len(x))
+    tracemalloc.start()
+    near, _ = best_k(x[:1024], ids[:1024], x, ids, 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6  # the whole 1,024 x 24,000 matrix alone has 197 MB
+    for i in (0, 700, 1023):
+        d = ((x - x[i]) ** 2).sum(1)
+        assert near[i].tolist() == np.argsort(d)[1:4].tolist()
+
+
+def test_comparison_of_many_equal_distances():
+    from tiersmith.operators.neighbours import best_k
+
+    x = np.repeat(np.eye(6), 700, axis=0)  # every distance is 0 or the root of 2
+    ids = np.random.default_rng(4).permutation(len(x))
+    near, dist = best_k(x[:600], ids[:600], x[700:], ids[700:], 4, np.full(600, 2.0))
+    want = np.sort(ids[700:])[:4].tolist()
+    assert all(n.tolist() == want for n in near) and np.allclose(np.concatenate(dist), 2**0.5)

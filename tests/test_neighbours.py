@@ -108,3 +108,26 @@ def test_comparison_of_many_equal_distances():
     near, dist = best_k(x[:600], ids[:600], x[700:], ids[700:], 4, np.full(600, 2.0))
     want = np.sort(ids[700:])[:4].tolist()
     assert all(n.tolist() == want for n in near) and np.allclose(np.concatenate(dist), 2**0.5)
+
+
+def test_wide_rows_are_compared_along_few_directions_first(monkeypatch):
+    from tiersmith.operators import neighbours
+
+    seen = []
+    original = neighbours._outline
+    monkeypatch.setattr(neighbours, "_outline", lambda rows: seen.append(original(rows)) or seen[-1])
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(5000, 60)) * 0.8 ** np.arange(60) * 5
+    x[:40] = x[40]  # copies
+    x[50] *= 1e4  # far from all others
+    ids = rng.permutation(len(x))
+    asked = np.r_[0:60, 3000:3100]
+    want = brute(ids, x, 3)
+    near, dist = neighbours.best_k(x[asked], ids[asked], x, ids, 3)
+    assert [n.tolist() for n in near] == [want[i] for i in ids[asked]]
+    kth = np.array([d[2] for d in dist])
+    near, _ = neighbours.best_k(x[asked], ids[asked], x, ids, 3, kth)
+    assert [n.tolist() for n in near] == [want[i] for i in ids[asked]]
+    assert [s.shape for s in seen] == [(60, neighbours.OUTLINE)] * 2
+    neighbours.best_k(x[asked, :20], ids[asked], x[:, :20], ids, 3)
+    assert len(seen) == 2  # narrow rows are compared whole

@@ -34,7 +34,11 @@ MAX_BLOCK_ROWS = 65_536
 SMALL_CLASS = 4096  # rows compared whole in one task
 COMPARE_ROWS = 1024  # rows compared with the pivots at a time
 TILE_QUERIES, TILE_ROWS = 512, 2048  # compared by one matrix product
-EXACT_PAIRS = 65_536  # distances computed exactly at a time
+EXACT_PAIRS = 4_096  # distances computed exactly at a time
+OUTLINE = 32  # leading directions along which rows are compared first
+OUTLINE_WIDTH = 1024  # widest rows whose directions are looked for
+OUTLINE_SCALE = 1e30  # squared lengths that single precision holds
+OUTLINE_SHARE = 16  # rows kept by the directions, as a part of all, beyond which the whole rows are compared
 MOST_PARTS = 256  # classes joined by one layout
 
 
@@ -66,12 +70,18 @@ def _pair_distances(q: np.ndarray, base: np.ndarray, i: np.ndarray, j: np.ndarra
     return d
 
 
+def _outline(rows: np.ndarray) -> np.ndarray:
+    """The leading principal directions of centred rows; along them no two rows lie farther apart than in full."""
+    return np.linalg.eigh(rows.T @ rows)[1][:, -OUTLINE:]
+
+
 def best_k(q: np.ndarray, q_id: np.ndarray, base: np.ndarray, base_id: np.ndarray, k: int, limit=None):
     """k closest base rows of each query as (ids, distances), ordered by (distance, id), self excluded.
 
     Tiles of queries and base rows are compared by a matrix product; what may lie within a query's k-th
     distance so far is computed exactly and only the k best are kept. Memory is that of a tile,
-    however many rows there are.
+    however many rows there are. Wide rows are compared along their leading directions first, in single
+    precision: distances there are never larger, and the slack covers the rounding, so nothing is lost.
     """
     if not len(q) or not len(base):
         return [np.array([], np.int64)] * len(q), [np.array([])] * len(q)
@@ -81,6 +91,22 @@ def best_k(q: np.ndarray, q_id: np.ndarray, base: np.ndarray, base_id: np.ndarra
     half = (b0 * b0).sum(1) / 2
     scale = 2 * half.max()
     wide = np.concatenate([b0, -half[:, None]], axis=1)
+    outline = None
+    if len(base) > TILE_ROWS and OUTLINE < base.shape[1] <= OUTLINE_WIDTH and scale < OUTLINE_SCALE:
+        outline = _outline(b0)
+        short = b0 @ outline
+        short_half = (short * short).sum(1) / 2
+        short = np.concatenate([short, -short_half[:, None]], axis=1).astype(np.float32)
+    # Products go to one array each: new ones of this size cost more than the products.
+    products = {f: np.empty(TILE_QUERIES * TILE_ROWS, f) for f in (np.float32, np.float64)}
+    hits = np.empty(TILE_QUERIES * TILE_ROWS, bool)
+
+    def product(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return np.matmul(x, y.T, out=products[x.dtype.type][: len(x) * len(y)].reshape(len(x), len(y)))
+
+    def reaching(g: np.ndarray, least: np.ndarray) -> np.ndarray:
+        return np.flatnonzero(np.greater_equal(g, least[:, None], out=hits[: g.size].reshape(g.shape)))
+
     for s in range(0, len(q), TILE_QUERIES):
         part, part_id = q[s : s + TILE_QUERIES], q_id[s : s + TILE_QUERIES]
         p0 = part - centre
@@ -89,27 +115,41 @@ def best_k(q: np.ndarray, q_id: np.ndarray, base: np.ndarray, base_id: np.ndarra
         bound = np.full(len(part), np.inf) if limit is None else limit[s : s + TILE_QUERIES] ** 2
         left = np.concatenate([p0, np.ones((len(part), 1))], axis=1)
         row, dist, near = np.array([], np.int64), np.array([]), np.array([], base_id.dtype)
+        looked = outline is not None and norm.max() < OUTLINE_SCALE
+        if looked:
+            place = p0 @ outline
+            length = (place * place).sum(1)
+            place = np.concatenate([place, np.ones((len(part), 1))], axis=1).astype(np.float32)
         for t in range(0, len(base), TILE_ROWS):
             tile_id = base_id[t : t + TILE_ROWS]
-            g = left @ wide[t : t + TILE_ROWS].T  # (|p|^2 - squared distance) / 2
-            if k <= len(tile_id) and not np.isfinite(bound).all():
-                g[part_id[:, None] == tile_id[None, :]] = -np.inf
-                kth = np.partition(g, len(tile_id) - k, axis=1)[:, len(tile_id) - k]
-                bound = np.minimum(bound, norm - 2 * kth + slack)
-            hit = np.flatnonzero(g >= ((norm - bound - slack) / 2)[:, None])
+            hit = None
+            if looked and np.isfinite(bound).all():
+                # Far more than single precision loses in a product of so few terms.
+                loose = slack + 1e-5 * (length + 2 * short_half[t : t + TILE_ROWS].max())
+                least = ((length - bound - loose) / 2).astype(np.float32)
+                hit = reaching(product(place, short[t : t + TILE_ROWS]), least)
+                if len(hit) > len(part) * len(tile_id) // OUTLINE_SHARE:
+                    hit = None  # directions that tell little apart here
+            if hit is None:
+                g = product(left, wide[t : t + TILE_ROWS])  # (|p|^2 - squared distance) / 2
+                if k <= len(tile_id) and not np.isfinite(bound).all():
+                    g[part_id[:, None] == tile_id[None, :]] = -np.inf
+                    kth = np.partition(g, len(tile_id) - k, axis=1)[:, len(tile_id) - k]
+                    bound = np.minimum(bound, norm - 2 * kth + slack)
+                hit = reaching(g, (norm - bound - slack) / 2)
             i, j = np.divmod(hit, len(tile_id))
             other = part_id[i] != tile_id[j]
             i, j = i[other], j[other] + t
             d = _pair_distances(part, base, i, j)
-            good = np.isfinite(d)
+            good = np.isfinite(d) & (d * d <= (bound + slack)[i])
             if not good.any():
                 continue
             row, dist, near = (np.concatenate(x) for x in ((row, i[good]), (dist, d[good]), (near, base_id[j[good]])))
             order = np.lexsort((near, dist, row))
             row, dist, near = row[order], dist[order], near[order]
-            place = np.arange(len(row)) - np.searchsorted(row, row)
-            bound[row[place == k - 1]] = np.minimum(bound[row[place == k - 1]], dist[place == k - 1] ** 2)
-            row, dist, near = (x[place < k] for x in (row, dist, near))
+            place_of = np.arange(len(row)) - np.searchsorted(row, row)
+            bound[row[place_of == k - 1]] = np.minimum(bound[row[place_of == k - 1]], dist[place_of == k - 1] ** 2)
+            row, dist, near = (x[place_of < k] for x in (row, dist, near))
         cuts = np.searchsorted(row, np.arange(1, len(part)))
         ids += np.split(near, cuts)
         dists += np.split(dist, cuts)

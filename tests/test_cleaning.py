@@ -162,3 +162,14 @@ def test_records_pad_and_guard(spark):
     rows = {r["id"]: r for r in clean.pad(accepted, cat.PAYLOAD).collect()}
     assert rows["1"]["price"] == 0.0 and "price" in rows["1"]["imputed_keys"] and "tags" not in rows["1"]["imputed_keys"]
     assert rows["1"]["extra"] == 1 and rows["4"]["platform_windows"] == 1 and len(rows["4"]["imputed_keys"]) == 34
+
+
+def test_records_are_parsed_once_whatever_filters_follow(spark):
+    lines = spark.createDataFrame([(1, '{"a": "x"}'), (2, "{a"), (3, None), (4, '{"a": "жук"}')], "i int, value string")
+    good, bad = records.read_records(lines, "a string")
+    kept = good.filter("a LIKE 'x%' OR a LIKE 'y%'").filter("length(a) < 5")
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("from_json(") == 1
+    assert [tuple(r) for r in kept.collect()] == [(1, "x")]
+    assert {tuple(r) for r in good.collect()} == {(1, "x"), (4, "жук")}
+    assert {tuple(r) for r in bad.collect()} == {(2, "{a"), (3, None)}

@@ -131,3 +131,14 @@ def test_wide_rows_are_compared_along_few_directions_first(monkeypatch):
     assert [s.shape for s in seen] == [(60, neighbours.OUTLINE)] * 2
     neighbours.best_k(x[asked, :20], ids[asked], x[:, :20], ids, 3)
     assert len(seen) == 2  # narrow rows are compared whole
+
+
+def test_points_are_sorted_by_hash_before_their_vectors(spark):
+    from tiersmith.operators.neighbours import distinct_points
+
+    nan = float("nan")
+    rows = [(1, [0.0, 1.0]), (2, [-0.0, 1.0]), (3, [nan, 1.0]), (4, [nan, 1.0]), (5, None), (6, None), (7, [2.0, None]), (8, [0.0, 1.0])]
+    points = distinct_points(spark.createDataFrame(rows, "id bigint, v array<double>"), "id", "v", 1)
+    assert sorted(r["ids"] for r in points.collect()) == [[1, 2], [3, 4], [5, 6], [7]]
+    sorts = [line for line in points._jdf.queryExecution().sparkPlan().toString().splitlines() if "Window" in line]
+    assert sorts and all("hash" in line and line.index("hash") < line.index("vec") for line in sorts)

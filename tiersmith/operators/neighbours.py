@@ -174,9 +174,10 @@ class _Layout:
 def distinct_points(df: DataFrame, key: str, vector: str, k: int, part: str | None = None) -> DataFrame:
     """One row per distinct vector of a part: ``pid`` (smallest key), ``vec`` and the k+1 smallest keys.
 
-    The rank filter is applied before the shuffle too, so copies never pile up in one task.
+    The rank filter is applied before the shuffle too, so copies never pile up in one task. Sorting
+    compares hashes first: Spark prepares both vectors anew each time that it compares them.
     """
-    by_vec = Window.partitionBy("part", "vec").orderBy("id")
+    by_vec = Window.partitionBy("part", "hash", "vec").orderBy("id")
     number = F.lit(0) if part is None else F.col(part)
     return (
         df.select(
@@ -184,9 +185,10 @@ def distinct_points(df: DataFrame, key: str, vector: str, k: int, part: str | No
             F.col(key).cast("bigint").alias("id"),
             F.col(vector).cast("array<double>").alias("vec"),
         )
+        .withColumn("hash", F.xxhash64("vec"))
         .withColumn("r", F.row_number().over(by_vec))
         .filter(F.col("r") <= k + 1)
-        .groupBy("part", "vec")
+        .groupBy("part", "hash", "vec")
         .agg(F.sort_array(F.collect_list("id")).alias("ids"))
         .select("part", F.col("ids")[0].alias("pid"), "vec", "ids")
     )
